@@ -6,18 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import jaccard
-from rasterloom.session import cut
+from rasterloom.llm import jaccard, langid, packing, secret_scan
+from rasterloom.session import cut, ensure_importable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier accepts stay; it is trained on a bounded sample of the docs' own labels. Null and empty texts and texts without letters go. The columns stay as they are."""
+    return langid.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document (the smallest doc_id) of each near-duplicate group stays, and every document without a group."""
     return jaccard.first_of_each(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in text are masked, and n_chars follows."""
+    return secret_scan.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its bucket, batch and slot: the columns of packing.pack."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packed)]
 
 #: Scoring, min-wise search and the tokenizer aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -25,6 +40,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet and reread as the next one's docs."""
+    ensure_importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
