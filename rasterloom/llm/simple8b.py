@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,42 @@ BLOCK = 128
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
-SINGLE = 14  # two ids of 30 bits; an id of more than 30 bits is an escape
+
+
+_LIMITS = U64(1) << BITS[1:ESCAPE].astype(U64)
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=U64), "right").astype(np.uint8)
+_SMALL[_SMALL > 0] += 1
+
+
+def selectors(ids: np.ndarray) -> np.ndarray:
+    """For each id the first selector that has room for it, 0 for a zero, ESCAPE beyond 30 bits."""
+    out = _SMALL[np.minimum(ids, U64(65535)).astype(np.uint16)]
+    big = np.flatnonzero(ids > U64(65535))
+    if len(big):
+        out[big] = np.searchsorted(_LIMITS, ids[big], "right") + 1
+    return out
+
+
+def _best(need: np.ndarray) -> np.ndarray:
+    """The selector of a word that begins at each place of blocks (rows): the one that takes most ids. A row's end counts as zeros, so its last word may be short."""
+    n = need.shape[1]
+    high = {1: need}
+
+    def ahead(k: int) -> np.ndarray:
+        """The highest need of the next k places, from two overlapping halves."""
+        if k not in high:
+            h = 1 << (k - 1).bit_length() - 1
+            x, d = ahead(h), k - h
+            y = x.copy()
+            if d < n:
+                np.maximum(y[:, : n - d], x[:, d:], out=y[:, : n - d])
+            high[k] = y
+        return high[k]
+
+    out = np.full(need.shape, ESCAPE, np.uint8)
+    for s in range(ESCAPE - 1, -1, -1):
+        out[ahead(int(COUNT[s])) <= (s if s > 1 else 0)] = s
+    return out
 
 
 def pack(ids: np.ndarray, block_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,57 +63,42 @@ def pack(ids: np.ndarray, block_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     All blocks advance together: step by step each one's next word is the selector with most ids that fit; a word may be short only at its block's end.
     """
     ids = ids.astype(U64)
-    n, blocks = len(ids), len(block_of) - 1
-    end = np.repeat(block_of[1:], np.diff(block_of))
-    place = np.arange(n)
-    take = np.zeros(n, np.int64)
-    pick = np.full(n, ESCAPE, np.int64)
-    for s in range(ESCAPE - 1, -1, -1):
-        bad = ids >= (U64(1) << U64(BITS[s]))
-        nxt = np.where(bad, place, n)
-        nxt = np.minimum.accumulate(nxt[::-1])[::-1] if n else nxt
-        fit = np.minimum(nxt, end) - place
-        # a full word of this selector, or all that is left of the block
-        ok = (fit >= COUNT[s]) | ((fit == end - place) & (fit > 0))
-        width = np.minimum(fit, COUNT[s])
-        better = ok & (width >= take)
-        take[better], pick[better] = width[better], s
-    take[take == 0] = 1
-    cursor = block_of[:-1].copy()
-    live = np.flatnonzero(cursor < block_of[1:])
-    starts, owner, order = [], [], []
-    step = 0
+    size = np.diff(block_of)
+    blocks, wide = len(size), int(size.max(initial=0))
+    if not wide:
+        return np.zeros(0, U64), np.zeros(blocks, np.int64)
+    inside = np.arange(wide) < size[:, None]
+    need = np.zeros((blocks, wide), np.uint8)
+    need[inside] = selectors(ids)
+    best = _best(need)
+    cursor, filled = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+    live = np.flatnonzero(size > 0)
+    steps = []
     while len(live):
         at = cursor[live]
-        starts.append(at)
-        owner.append(live)
-        order.append(np.full(len(live), step))
-        cursor[live] = at + take[at]
-        live = live[cursor[live] < block_of[1:][live]]
-        step += 1
-    if not starts:
-        return np.zeros(0, U64), np.zeros(blocks, np.int64)
-    start, own, order = map(np.concatenate, (starts, owner, order))
-    by = np.lexsort((order, own))
-    start, own = start[by], own[by]
-    sel, width = pick[start], take[start]
-    raw = sel == ESCAPE
+        sel = best[live, at]
+        steps.append((live, at, sel, filled[live]))
+        cursor[live] = at + COUNT[sel]
+        filled[live] += 1 + (sel == ESCAPE)
+        live = live[cursor[live] < size[live]]
+    own, at, sel, place = (np.concatenate(c) for c in zip(*steps))
+    begin = np.cumsum(filled) - filled
+    start = block_of[own] + at
+    width = np.minimum(COUNT[sel], size[own] - at)
     words = sel.astype(U64) << U64(60)
     for s in range(2, ESCAPE):
         rows = np.flatnonzero(sel == s)
-        if not len(rows):
-            continue
         for j in range(COUNT[s]):
-            has = rows[j < width[rows]]
-            if not len(has):
+            rows = rows[width[rows] > j]
+            if not len(rows):
                 break
-            words[has] |= ids[start[has] + j] << U64(j * int(BITS[s]))
-    size = 1 + raw
-    to = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), U64)
+            words[rows] |= ids[start[rows] + j] << U64(j * int(BITS[s]))
+    out = np.zeros(int(filled.sum()), U64)
+    to = begin[own] + place
     out[to] = words
+    raw = sel == ESCAPE
     out[to[raw] + 1] = ids[start[raw]]
-    return out, np.bincount(own, weights=size, minlength=blocks).astype(np.int64)
+    return out, filled
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -137,7 +159,7 @@ def _struct(ids: np.ndarray, count: np.ndarray, block: int) -> pa.StructArray:
     )
 
 
-def _chunks(texts: pa.Array, rows: int = 512):
+def _chunks(texts: pa.Array, rows: int = 128):
     for i in range(0, len(texts), rows):
         yield texts.slice(i, rows)
 
@@ -151,7 +173,7 @@ def packed_text(text: Column, block: int = BLOCK, vocabulary: str = VOCABULARY)
         for t in _chunks(texts):
             ids = encode(t, vocabulary)
             count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for row in ids for x in row), U64, int(count.sum()))
+            flat = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(array("I", row), np.uint32) for row in ids if row)])
             parts.append(_struct(flat, count, block))
         return pa.concat_arrays(parts) if parts else _struct(np.zeros(0, U64), np.zeros(0, np.int64), block)
 
