@@ -158,6 +158,18 @@ class Comparer:
             score = np.minimum(score, b // SMALLEST * np.minimum(m, self.size[js, l]))
         return np.where(self.size[js, l] > 0, score, 0)
 
+    def matches(self, i: int, js: np.ndarray, least: int) -> np.ndarray:
+        """Whether the score is least or more. Signatures of lengths m and n differ by |m - n| edits at least, so most unequal ones need no comparison."""
+        out = np.zeros(len(js), bool)
+        hope = np.zeros(len(js), bool)
+        for k in (0, 1):
+            for l in (0, 1):  # noqa: E741
+                m, n = self.size[i, k], self.size[js, l]
+                hope |= (self.block[js] << l == self.block[i] << k) & (100 - 100 * (np.abs(m - n) * LENGTH // np.maximum(m + n, 1)) // LENGTH >= least)
+        at = np.flatnonzero(hope)
+        out[at] = self.scores(i, js[at]) >= least
+        return out
+
     def scores(self, i: int, js: np.ndarray) -> np.ndarray:
         """The best over the block sizes that both have signatures for."""
         out = np.zeros(len(js), np.int64)
@@ -189,7 +201,7 @@ def _verify(least: int):
                 if hi - lo < 2:
                     continue
                 own = Comparer(prints[lo:hi])
-                pairs, root = spanning_links([grams_of(*p) for p in prints[lo:hi]], lambda i, js, shared, own=own: own.scores(i, js) >= least)
+                pairs, root = spanning_links([grams_of(*p) for p in prints[lo:hi]], lambda i, js, shared, own=own: own.matches(i, js, least))
                 partner = {}
                 for i, j in pairs:
                     partner.setdefault(i, j)

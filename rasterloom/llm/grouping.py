@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,20 +34,20 @@ class Overlaps:
     """An inverted index of integer sets: how many elements a set shares with each indexed one."""
 
     def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
+        self.lists: dict[int, array] = {}
         self.n = 0
 
     def add(self, items: list[int]) -> None:
         for x in items:
-            self.lists.setdefault(x, []).append(self.n)
+            if x in self.lists:
+                self.lists[x].append(self.n)
+            else:
+                self.lists[x] = array("i", (self.n,))
         self.n += 1
 
     def counts(self, items: list[int]) -> np.ndarray:
-        hit: list[int] = []
-        for x in items:
-            if x in self.lists:
-                hit += self.lists[x]
-        return np.bincount(hit, minlength=self.n) if hit else np.zeros(self.n, np.int64)
+        hit = [np.frombuffer(self.lists[x], np.int32) for x in items if x in self.lists]
+        return np.bincount(np.concatenate(hit), minlength=self.n) if hit else np.zeros(self.n, np.int64)
 
 
 def spanning_links(sets: list[np.ndarray], linked: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -89,21 +90,18 @@ def spanning_links(sets: list[np.ndarray], linked: Callable[[int, np.ndarray, np
         members: dict[int, list[int]] = {}
         for i in range(n):
             members.setdefault(find(i), []).append(i)
-        done: list[list[int]] = []
+        index, ids = Overlaps(), np.zeros(0, np.int64)
         for own in sorted(members.values(), key=len, reverse=True):
-            # against everything seen so far, smaller clusters as queries
-            if done:
-                index, ids = Overlaps(), np.array([i for d in done for i in d])
-                need = {x for i in own for x in items[i]}
-                for i in ids:
-                    index.add([x for x in items[i] if x in need])
-                for i in own:
-                    shared = index.counts(items[i])
-                    at = np.flatnonzero(shared)
-                    at = at[[find(int(j)) != find(i) for j in ids[at]]] if len(at) else at
-                    if len(at):
-                        ok = linked(i, ids[at], shared[at])
-                        for j in ids[at][ok]:
-                            join(i, int(j))
-            done.append(own)
+            # against all clusters seen so far, smaller clusters as queries
+            for i in own if len(ids) else ():
+                shared = index.counts(items[i])
+                at = np.flatnonzero(shared)
+                at = at[np.fromiter((find(j) != find(i) for j in ids[at].tolist()), bool, len(at))]
+                if len(at):
+                    ok = linked(i, ids[at], shared[at])
+                    for j in ids[at][ok].tolist():
+                        join(i, j)
+            for i in own:
+                index.add(items[i])
+            ids = np.append(ids, own)
     return links, np.array([find(i) for i in range(n)], np.int64)
