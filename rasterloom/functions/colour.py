@@ -88,9 +88,9 @@ def with_oklab(df: DataFrame, names: tuple[str, str, str], rgb: tuple[str, str,
     d = df.withColumns({n: srgb_to_linear(F.col(c)) for n, c in zip(t, rgb)})
     lr, lg, lb = (F.col(c) for c in t)
     lms = {
-        "__l": F.cbrt(0.4122214708 * lr + 0.5363325363 * lg + 0.0514459929 * lb),
-        "__m": F.cbrt(0.2119034982 * lr + 0.6806995451 * lg + 0.1073969566 * lb),
-        "__s": F.cbrt(0.0883024619 * lr + 0.2817188376 * lg + 0.6299787005 * lb),
+        "__lms0": F.cbrt(0.4122214708 * lr + 0.5363325363 * lg + 0.0514459929 * lb),
+        "__lms1": F.cbrt(0.2119034982 * lr + 0.6806995451 * lg + 0.1073969566 * lb),
+        "__lms2": F.cbrt(0.0883024619 * lr + 0.2817188376 * lg + 0.6299787005 * lb),
     }
     l, m, s = (F.col(c) for c in lms)  # noqa: E741
     out = (0.2104542553 * l + 0.793617785 * m - 0.0040720468 * s, 1.9779984951 * l - 2.428592205 * m + 0.4505937099 * s, 0.0259040371 * l + 0.7827717662 * m - 0.808675766 * s)

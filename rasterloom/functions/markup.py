@@ -101,7 +101,8 @@ def payload(document: Column) -> Column:
 
 def inner(svg: Column) -> Column:
     """What stands between the outer tags."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(svg, r"(?s)^.*?<svg\b[^>]*>", ""), r"</svg>\s*$", ""), r"(?s)<\?xml.*?\?>", ""))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(svg, r"(?s)^.*?<svg\b[^>]*>", ""), r"</svg>\s*$", ""), r"(?s)<\?xml.*?\?>", "")
+    return F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
 def view_box(svg: Column, default: str) -> Column:

@@ -58,7 +58,7 @@ def page_indices(spec: Column, most: int = 100_000) -> Column:
 
     def pages(s: Column) -> Column:
         a = F.regexp_extract(s, r"^(\d+)", 1).cast("int")
-        b = F.coalesce(F.nullif(F.regexp_extract(s, r"-(\d+)$", 1), F.lit("")).cast("int"), a)
+        b = F.when(s.contains("-"), F.regexp_extract(s, r"-(\d+)$", 1).cast("int")).otherwise(a)
         low = F.greatest(F.lit(1), F.least(a, b))
         high = F.least(F.greatest(a, b), low + most)
         return F.when(low <= high, F.sequence(low - 1, high - 1)).otherwise(F.array().cast("array<int>"))

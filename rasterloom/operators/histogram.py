@@ -103,9 +103,9 @@ def background_distance(px: DataFrame, colour: DataFrame) -> DataFrame:
     """Oklab distance of each pixel to its image's background colour; 0 where it is transparent."""
     bg = colour.select("img_id", *[F.col(c).alias(f"bg_{c}") for c in "rgb"])
     p = px.join(bg, "img_id")
-    p = with_oklab(with_oklab(p, ("__L", "__A", "__B")), ("__u", "__v", "__w"), ("bg_r", "bg_g", "bg_b"))
-    d = F.sqrt(sum(((F.col(i) - F.col(j)) * (F.col(i) - F.col(j)) for i, j in zip(("__L", "__A", "__B"), ("__u", "__v", "__w"))), F.lit(0.0)))
-    return p.withColumn("distance", F.when(F.col("a") == 0, F.lit(0.0)).otherwise(d)).drop("bg_r", "bg_g", "bg_b", "__L", "__A", "__B", "__u", "__v", "__w")
+    p = with_oklab(with_oklab(p, ("__okL", "__okA", "__okB")), ("__u", "__v", "__w"), ("bg_r", "bg_g", "bg_b"))
+    d = F.sqrt(sum(((F.col(i) - F.col(j)) * (F.col(i) - F.col(j)) for i, j in zip(("__okL", "__okA", "__okB"), ("__u", "__v", "__w"))), F.lit(0.0)))
+    return p.withColumn("distance", F.when(F.col("a") == 0, F.lit(0.0)).otherwise(d)).drop("bg_r", "bg_g", "bg_b", "__okL", "__okA", "__okB", "__u", "__v", "__w")
 
 
 def remove_background_everywhere(px: DataFrame, colour: DataFrame | None = None, tolerance: float = 0.02, feather: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,12 +112,12 @@ def class_adjacency(px: DataFrame) -> DataFrame:
 
 
 def region_graph(labels: DataFrame, px: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (img_id, comp, area, L, A, B: mean Oklab) and edges (img_id, u, v, distance) of touching components."""
-    p = with_oklab(labels.filter("comp >= 0").join(px.select("img_id", "x", "y", "r", "g", "b"), ["img_id", "x", "y"]), ("L", "A", "B"))
-    v = p.groupBy("img_id", "comp").agg(F.count("*").alias("area"), *[F.avg(c).alias(c) for c in "LAB"])
+    """Vertices (img_id, comp, area, okL, okA, okB: mean Oklab) and edges (img_id, u, v, distance) of touching components."""
+    p = with_oklab(labels.filter("comp >= 0").join(px.select("img_id", "x", "y", "r", "g", "b"), ["img_id", "x", "y"]), ("okL", "okA", "okB"))
+    v = p.groupBy("img_id", "comp").agg(F.count("*").alias("area"), *[F.avg(f"ok{c}").alias(f"ok{c}") for c in "LAB"])
     two = labels.select("img_id", "comp", at("comp", 1, row()).alias("e"), at("comp", 1, column()).alias("s"))
     e = two.select("img_id", "comp", F.explode(F.array("e", "s")).alias("other")).filter("comp >= 0 and other >= 0 and comp != other").select("img_id", F.least("comp", "other").alias("u"), F.greatest("comp", "other").alias("v")).distinct()
-    side = lambda n: v.select("img_id", F.col("comp").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in "LAB"])
+    side = lambda n: v.select("img_id", F.col("comp").alias(n), *[F.col(f"ok{c}").alias(f"{n}_{c}") for c in "LAB"])
     d = F.sqrt(sum(((F.col(f"u_{c}") - F.col(f"v_{c}")) * (F.col(f"u_{c}") - F.col(f"v_{c}")) for c in "LAB"), F.lit(0.0)))
     return v, e.join(side("u"), ["img_id", "u"]).join(side("v"), ["img_id", "v"]).select("img_id", "u", "v", d.alias("distance"))
 
@@ -265,7 +266,6 @@ def merge_regions(labels: DataFrame, px: DataFrame, k: float = 0.05, target: int
     nodes = v.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("comp", "area"))).alias("nodes"))
     both = nodes.join(pairs, "img_id", "left")
 
-    import pyarrow as pa
 
     @F.arrow_udf("array<struct<comp:int,region:int>>")
     def run(nodes_: pa.Array, edges_: pa.Array) -> pa.Array:
@@ -281,7 +281,7 @@ def merge_regions(labels: DataFrame, px: DataFrame, k: float = 0.05, target: int
 
 
 def flatten_segments(px: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every pixel takes its segment's mean Oklab colour and mean alpha; columns L, A, B, a."""
-    p = with_oklab(px.join(labels.select("img_id", "x", "y", "comp"), ["img_id", "x", "y"]), ("L", "A", "B"))
+    """Every pixel takes its segment's mean Oklab colour and mean alpha; columns okL, okA, okB, a."""
+    p = with_oklab(px.join(labels.select("img_id", "x", "y", "comp"), ["img_id", "x", "y"]), ("okL", "okA", "okB"))
     seg = W.partitionBy("img_id", "comp")
-    return p.select("img_id", "x", "y", "comp", *[F.avg(c).over(seg).alias(c) for c in "LAB"], half_up(F.avg("a").over(seg)).cast("int").alias("a"))
+    return p.select("img_id", "x", "y", "comp", *[F.avg(f"ok{c}").over(seg).alias(f"ok{c}") for c in "LAB"], half_up(F.avg("a").over(seg)).cast("int").alias("a"))

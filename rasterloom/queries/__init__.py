@@ -1,0 +1,9 @@
+"""The library's queries over the bindings, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+from rasterloom.queries import colour, edits, metrics, misc, regions
+
+MODULES = (metrics, colour, edits, regions, misc)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
