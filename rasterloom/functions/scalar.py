@@ -54,7 +54,7 @@ def byte_size(text: Column) -> Column:
 
 def page_indices(spec: Column, most: int = 100_000) -> Column:
     """'1,3-5' as zero-based indices in the order given; parts that are no range are left out."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda s: s.rlike(r"^\d{1,9}(-\d{1,9})?$"))
+    parts = F.filter(F.transform(F.split(spec, ","), lambda s: F.trim(s)), lambda s: s.rlike(r"^\d{1,9}(-\d{1,9})?$"))
 
     def pages(s: Column) -> Column:
         a = F.regexp_extract(s, r"^(\d+)", 1).cast("int")
@@ -145,7 +145,7 @@ def sample_frames(pages: Column, most: int) -> Column:
 
 def clean_diagnostics(message: Column) -> Column:
     """A codec's lines, trimmed, without empty and repeated ones, joined by '; '."""
-    lines = F.filter(F.transform(F.split(message, r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(message, r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     return F.array_join(F.array_distinct(lines), "; ")
 
 
