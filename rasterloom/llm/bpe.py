@@ -105,7 +105,7 @@ def nearest_chunk(text: Column) -> Column:
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), "t", 2 << 20):
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), "t"):
             data, off = utf8(part.column("t"))
             s, first = boundaries(data, off)
             least = np.zeros(len(off) - 1, np.int64)
@@ -122,7 +122,7 @@ def nearest_chunk(text: Column) -> Column:
 def _encode(path: str, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _WORKER.get((path, kept)) or _WORKER.setdefault((path, kept), Chunks(path, kept))
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text"):
             data, off = utf8(part.column("text"))
             s, first = boundaries(data, off)
             raw, cuts = data.tobytes(), [*s.tolist(), len(data)]

@@ -81,7 +81,7 @@ def signatures(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array,
     return SMALLEST << want, parts[0], parts[1]
 
 
-def fingerprint(text: Column, max_bytes: int = 1 << 21) -> Column:
+def fingerprint(text: Column, max_bytes: int = 1 << 20) -> Column:
     """struct<block, sig1, sig2> of a text; null for null."""
 
     @F.arrow_udf("struct<block:long,sig1:string,sig2:string>")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.text import utf8
+from rasterloom.llm.text import slices, utf8
 from rasterloom.session import ensure_importable
 
 #: Byte n-grams, buckets, rows a language gives to training (about; drawn by hash of doc_id), additive smoothing,
@@ -32,15 +32,13 @@ class Model:
     usual: np.ndarray
 
 
-def features(arr: pa.Array, buckets: int = BUCKETS, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def features(arr: pa.Array, buckets: int = BUCKETS, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of the column: first row, end row, buckets of all grams, and where each text's begin. Everything but letters counts as one space between words."""
-    data, off = utf8(arr, lower=True)
     row = 0
-    while row < len(off) - 1:
-        to = max(row + 1, int(np.searchsorted(off, off[row] + max_bytes, "right")) - 1)
-        to = min(to, len(off) - 1)
-        b = _LETTER[data[off[row] : off[to]]]
-        o = off[row : to + 1] - off[row]
+    for part in slices(iter([pa.RecordBatch.from_arrays([arr], ["t"])]), "t", max_bytes):
+        data, o = utf8(part.column("t"), lower=True)
+        to = row + part.num_rows
+        b = _LETTER[data]
         space = b == 32
         keep = np.ones(len(b), bool)
         keep[1:] = ~(space[1:] & space[:-1])
@@ -70,7 +68,6 @@ def features(arr: pa.Array, buckets: int = BUCKETS, max_bytes: int = 1 << 20) ->
             at = np.arange(len(v)) + np.repeat(base - (np.cumsum(c) - c), c)
             h[at] = v
             base += c
-        # a lone space is no text
         yield row, to, h, start
         row = to
 
