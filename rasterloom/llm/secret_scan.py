@@ -29,7 +29,7 @@ _CLASSES = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+")), ("alnum", re.compile(r"
 @lru_cache(8)
 def _terms(window: int) -> list[float]:
     """c * log2(c): the entropy of a window of w characters is log2(w) - sum(c log2 c) / w."""
-    return [0.0] + [float(c * np.log2(c)) for c in range(1, window + 1)]
+    return [0.0] + [float(c * np.log2(c)) for c in range(1, window + 2)]
 
 
 def window_entropy(s: str, window: int = WINDOW) -> tuple[float, int]:
@@ -101,7 +101,7 @@ def scan(docs: DataFrame, **parameters) -> DataFrame:
     ensure_importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text"):
             rows = find(*utf8(part.column("text")), **parameters)
             if rows:
                 d, *rest = zip(*rows)
@@ -110,26 +110,30 @@ def scan(docs: DataFrame, **parameters) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
 
+def _mask(texts: pa.Array, mask: str, parameters: dict) -> pa.Array:
+    hits: dict[int, list[tuple[int, int]]] = {}
+    data, off = utf8(texts)
+    for d, i, j, *_ in find(data, off, **parameters):
+        hits.setdefault(d, []).append((i, j))
+    if not hits:
+        return texts
+    out = texts.to_pylist()
+    for d, spans in hits.items():
+        s, at, parts = data[off[d] : off[d + 1]].tobytes(), 0, []
+        for i, j in spans:
+            parts += [s[at:i], mask.encode()]
+            at = j
+        out[d] = b"".join([*parts, s[at:]]).decode()
+    return pa.array(out, texts.type)
+
+
 def masked(text: Column, mask: str = MASK, **parameters) -> Column:
     """The text with every secret replaced by the mask; null stays null."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        hits: dict[int, list[tuple[int, int]]] = {}
-        data, off = utf8(texts)
-        for d, i, j, *_ in find(data, off, **parameters):
-            hits.setdefault(d, []).append((i, j))
-        if not hits:
-            return texts
-        out = texts.to_pylist()
-        raw = data.tobytes()
-        for d, spans in hits.items():
-            s, at, parts = raw[off[d] : off[d + 1]], 0, []
-            for i, j in spans:
-                parts += [s[at:i], mask.encode()]
-                at = j
-            out[d] = b"".join([*parts, s[at:]]).decode()
-        return pa.array(out, texts.type)
+        parts = [_mask(p.column("t"), mask, parameters) for p in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), "t")]
+        return pa.concat_arrays(parts) if parts else texts
 
     return run(text)
 
