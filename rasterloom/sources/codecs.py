@@ -245,7 +245,9 @@ def decode_pnm(b: bytes) -> np.ndarray:
         rows = np.frombuffer(b[pos + 1 : pos + 1 + stride * h].ljust(stride * h, b"\0"), np.uint8).reshape(h, stride)
         v = np.unpackbits(rows, axis=1)[:, :w].ravel().astype(np.int64)
     else:
-        v = np.frombuffer(b[pos + 1 : pos + 1 + n * (2 if top > 255 else 1)], ">u2" if top > 255 else np.uint8).astype(np.int64)
+        wide = 2 if top > 255 else 1
+        have = min(n, (len(b) - pos - 1) // wide)
+        v = np.frombuffer(b, ">u2" if wide == 2 else np.uint8, max(have, 0), pos + 1).astype(np.int64) if have > 0 else np.zeros(0, np.int64)
     if len(v) < n:
         raise CodecError("unexpected end of PNM pixels")
     v = v[:n].reshape(h, w, ch)
