@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterloom import bindings as B
 from rasterloom.functions.colour import gaussian
 from rasterloom.operators import compare as C
+from rasterloom.operators import fullref as R
 from rasterloom.operators import histogram as H
 from rasterloom.operators import stencil as S
 from rasterloom.plans.vectorize import choose_mode, refine_gate
@@ -86,6 +87,12 @@ def compare_report(s: SparkSession, d: str) -> DataFrame:
     return C.report(p, _next(p), 4, 4)
 
 
+def compare_report_by_image(s: SparkSession, d: str) -> DataFrame:
+    """The same report with each pair in one task."""
+    p = B.rgba4(s, d, True)
+    return R.report(p, _next(p)).select("img_id", "n", "exact", "max_diff", R6("mse"), R6("psnr"), R6("ssim"), R6("ssim_luma"), R6("de_mean"), R6("de_p95"), R6("de_max"))
+
+
 def hist_colours(s: SparkSession, d: str) -> DataFrame:
     return H.colour_histogram(B.sheet(s, d))
 
@@ -182,7 +189,7 @@ _OTSU = """ot AS (SELECT img_id, arg_max(t, (v, -t)) AS threshold FROM (
     SELECT img_id, t, sum(n) OVER a AS wb, sum(n * t) OVER a AS sb, sum(n) OVER (PARTITION BY img_id) AS w, sum(n * t) OVER (PARTITION BY img_id) AS s
     FROM (SELECT img_id, CAST({t} AS INTEGER) AS t, count(*) AS n FROM {src} GROUP BY 1, 2) WINDOW a AS (PARTITION BY img_id ORDER BY t)) WHERE w > wb) GROUP BY img_id)"""
 
-QUERIES = {f.__name__: f for f in (px_compare_basic, px_compare_rgba, ssim_plane, ssim_luma, delta_e_stats, diff_heatmap, diff_summary, severity, composite_score, compare_report, hist_colours, hist_distinct, hist_dominant, hist_opaque, flatness, interior_noise, mode_select, otsu, threshold_apply, bradley_mask, bg_detect)} | {"refine_gate": refine_gate_query}
+QUERIES = {f.__name__: f for f in (px_compare_basic, px_compare_rgba, ssim_plane, ssim_luma, delta_e_stats, diff_heatmap, diff_summary, severity, composite_score, compare_report, compare_report_by_image, hist_colours, hist_distinct, hist_dominant, hist_opaque, flatness, interior_noise, mode_select, otsu, threshold_apply, bradley_mask, bg_detect)} | {"refine_gate": refine_gate_query}
 ORACLE = {
     "px_compare_basic": f"WITH {GRAY}, {PAIRS8}, e AS (SELECT img_id, count(*) AS n, count(*) FILTER (p = q) AS exact, max(abs(p - q)) AS max_diff, avg(power(p - q, 2)) AS mse FROM pairs GROUP BY img_id) SELECT img_id, n, exact, max_diff, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round({_PSNR}, 6) AS psnr, exact = n AS lossless FROM e",
     "px_compare_rgba": f"{_W4}, {_PRE}, e AS (SELECT img_id, count(*) AS n, count(*) FILTER ({' AND '.join(f'p_{c} = q_{c}' for c in 'rgba')}) AS exact, max(greatest({', '.join(f'abs(p_{c} - q_{c})' for c in 'rgba')})) AS max_diff, sum({_ERR('rgba')}) / (count(*) * 4) AS mse FROM pre GROUP BY img_id) SELECT img_id, n, exact, max_diff, round(mse, 6) AS mse, round({_PSNR}, 6) AS psnr FROM e",
@@ -220,3 +227,4 @@ SELECT per.img_id, CAST(differing AS BIGINT) AS differing, CAST(coherent AS BIGI
     "bg_detect": f"""WITH {GRAY}, e AS (SELECT img_id, CAST(v // 16 * 16 AS INTEGER) AS v, CASE WHEN y = 0 THEN 2 * x WHEN y = 7 THEN 2 * x + 1 WHEN x = 0 THEN 16 + 2 * (y - 1) ELSE 17 + 2 * (y - 1) END AS o FROM gray WHERE x IN (0, 7) OR y IN (0, 7)),
 k AS (SELECT img_id, v, count(*) AS n, min(o) AS f FROM e GROUP BY 1, 2) SELECT img_id, v AS r, v AS g, v AS b, 255 AS a FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY n DESC, f) AS rn FROM k) WHERE rn = 1""",
 }
+ORACLE["compare_report_by_image"] = f"SELECT a.*, s.ssim, s.ssim_luma, d.de_mean, d.de_p95, d.de_max FROM ({ORACLE['px_compare_rgba']}) a JOIN ({ORACLE['ssim_luma']}) s USING (img_id) JOIN ({ORACLE['delta_e_stats']}) d USING (img_id)"
