@@ -15,7 +15,7 @@ from rasterloom.session import ensure_importable
 
 #: Byte n-grams, buckets, rows a language gives to training (about; drawn by hash of doc_id), additive smoothing,
 #: and by how many nats a gram the text may be rarer than its language's usual text (plus NOISE / sqrt(grams)).
-NS, BUCKETS, PER_LANGUAGE, ALPHA, SLACK, NOISE = (2, 3, 4), 1 << 16, 2000, 0.1, 2.0, 6.0
+NS, BUCKETS, PER_LANGUAGE, ALPHA, SLACK, NOISE = (2, 3, 4), 1 << 16, 2000, 0.1, 3.5, 6.0
 UNDETERMINED = "und"
 
 _LETTER = np.full(256, 32, np.uint8)
