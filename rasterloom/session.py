@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,9 +22,11 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests), and an error on a cluster. What cut() writes there stays until the folder is cleared."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"rasterloom-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
