@@ -19,10 +19,15 @@ LEAST, WINDOW = 20, 20
 LIMITS = {"hex": 2.75, "alnum": 3.7, "base64": 3.9}
 #: Whole candidates that match are no secrets: one letter case without digits (words), digits only, one repeated character, paths.
 ALLOW = (r"[a-z]+", r"[A-Z]+", r"[A-Z]?[a-z]+", r"[0-9]+", r"(.)\1*", r"[-_=+/]+", r"[A-Za-z]+(?:[-_/][A-Za-z]+)+")
+#: Parts of a candidate that are no secrets either: words in any case, also joined (someName, HTTP), with up to four digits behind, and numbers.
+PROSE = r"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*[0-9]{0,4}|[A-Z]+|[0-9]+)"
 MASK = "<SECRET>"
 
 _CAND = np.zeros(256, bool)
 _CAND[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"]] = True
+_PROSE = re.compile(rf"{PROSE}?(?:[-_/+=]{PROSE}?)*")
+_PIECES = (("hex", re.compile(r"[0-9a-f]+")), ("hex", re.compile(r"[0-9A-F]+")), ("alnum", re.compile(r"[0-9A-Za-z]+")), ("base64", re.compile(r"[0-9A-Za-z+/]+")))
+_DASHED = re.compile(r"(?<![^=_-])(?:[0-9a-f]+(?:[=_-]+[0-9a-f]+)+|[0-9A-F]+(?:[=_-]+[0-9A-F]+)+)(?![^=_-])")
 _CLASSES = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+")), ("alnum", re.compile(r"[0-9A-Za-z]+")), ("base64", re.compile(r"[0-9A-Za-z+/=_-]+")))
 
 
@@ -61,6 +66,29 @@ def class_of(s: str) -> str:
     return next(name for name, p in _CLASSES if p.fullmatch(s))
 
 
+def pieces(s: str) -> Iterator[tuple[str, str]]:
+    """(class, string) of the parts of a run that are judged besides the whole: its maximal hex (one case), alnum and base64 sub-runs, none of which crosses = - _, and neighbouring hex parts between these without them (a UUID)."""
+    for kind, p in _PIECES:
+        for m in p.finditer(s):
+            yield kind, m[0]
+    for m in _DASHED.finditer(s):
+        yield "hex", re.sub("[=_-]", "", m[0])
+
+
+def judged(text: str, window: int, limits: dict[str, float], skip: re.Pattern | None) -> tuple[str, float] | None:
+    """Class and entropy if the run is a finding: its own where it passes as a whole, else those of the first part that passes its class's limit."""
+    kind = class_of(text)
+    bits, _ = window_entropy(text, window)
+    if bits >= limits[kind]:
+        return kind, bits
+    for kind, part in pieces(text):
+        if len(part) > 1 and np.log2(min(len(part), window)) >= limits[kind] and not _PROSE.fullmatch(part) and not (skip and skip.fullmatch(part)):
+            bits, _ = window_entropy(part, window)
+            if bits >= limits[kind]:
+                return kind, bits
+    return None
+
+
 def find(data: np.ndarray, off: np.ndarray, least: int = LEAST, window: int = WINDOW, limits: dict[str, float] | None = None, allow: tuple[str, ...] = ALLOW) -> list[tuple[int, int, int, str, str, float]]:
     """(document, first byte, end byte, class, string, entropy) of all findings."""
     limits = limits or LIMITS
@@ -81,10 +109,9 @@ def find(data: np.ndarray, off: np.ndarray, least: int = LEAST, window: int = WI
         text = raw[i:j].decode("ascii")
         if skip and re.fullmatch(skip, text):
             continue
-        kind = class_of(text)
-        bits, _ = window_entropy(text, window)
-        if bits >= limits[kind]:
-            out.append((d, i - int(off[d]), j - int(off[d]), kind, text, bits))
+        found = judged(text, window, limits, skip)
+        if found:
+            out.append((d, i - int(off[d]), j - int(off[d]), found[0], text, found[1]))
     return out
 
 
@@ -96,6 +123,8 @@ def scan(docs: DataFrame, **parameters) -> DataFrame:
 
     A candidate is a maximal run of at least LEAST characters of A-Z a-z 0-9 + / = _ -. Its class is the narrowest of hex (one case), alnum and base64. Its figure is the highest Shannon entropy of any window of WINDOW characters (the run itself if shorter); from the class's limit it is a finding, unless the whole run matches the allow list.
 
+    A run that isn't one as a whole is judged by its parts, each at the limit of its own class: maximal hex, alnum and base64 sub-runs, cut at = - _ (key=<hex>, sk-<hex>), and neighbouring hex parts together (a UUID). Parts that match the allow list or are words or numbers (PROSE) don't count. The row then has the part's class and entropy; start, end and value stay those of the run, all of which is masked.
+
     Cases: null or empty text: no rows. Long texts and runs are scanned whole. Repeated rows give their findings each time; a null doc_id stays null. Equal windows: the first counts. Empty table: empty result; other columns are ignored.
     """
     ensure_importable(docs.sparkSession)
@@ -149,7 +178,7 @@ def redact(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def oracle(least: int = LEAST, window: int = WINDOW, table: str = "documents") -> str:
-    """scan() as DuckDB SQL."""
+    """The judgement of whole runs as DuckDB SQL: scan() where no run is a finding by its parts alone."""
     allow = "|".join(a for a in ALLOW if "\\1" not in a)
     cls = "[A-Za-z0-9+/=_-]"
     return f"""

@@ -462,6 +462,25 @@ def test_allow_list_and_classes(spark):
     assert secret_scan.find(*utf8(pa.array(["24be64439e3e49cf46b2", "d7c90f3602a3d0b907ff"]))) and len(secret_scan.find(*utf8(pa.array(["24be64439e3e49cf46b2", "d7c90f3602a3d0b907ff"])))) == 2
 
 
+def test_secrets_glued_or_cut():
+    r = random.Random(5)
+
+    def lost(make, n=300):
+        return n - len(secret_scan.find(*utf8(pa.array([make() for _ in range(n)]))))
+
+    def hexes(n):
+        return "".join(r.choice("0123456789abcdef") for _ in range(n))
+
+    for before in ("", "key=", "token=", "sk-", "id-", "API_KEY=", "some/path/"):
+        assert lost(lambda: before + hexes(40)) == 0, before  # noqa: B023
+        assert lost(lambda: before + hexes(40).upper()) == 0, before  # noqa: B023
+    for cuts in ((8, 4, 4, 4, 12), (10, 10, 10, 10), (4,) * 10):
+        assert lost(lambda: "-".join(map(hexes, cuts))) <= 3  # noqa: B023
+    t = "é key=24be64439e3e49cf46b2d7c90f3602a3d0b907ff;"
+    assert secret_scan.find(*utf8(pa.array(["", t]))) == [(1, 3, 47, "hex", t[2:-1], secret_scan.window_entropy(t[6:-1])[0])]
+    assert not secret_scan.find(*utf8(pa.array(["some_module/SomeClassName-2026_11_25 order=1234567890123456 -" + "-" * 5000 + "word" * 5000 + "=a7"])))
+
+
 # -- 10 packing
 
 
