@@ -17,6 +17,8 @@ from rasterloom.session import cut, ensure_importable
 
 #: Window of the rolling hash, smallest block, characters of a signature, common substring that a match needs, least score.
 WINDOW, SMALLEST, LENGTH, COMMON, SCORE = 7, 3, 64, 7, 50
+#: Bytes from which equal texts match whatever their signature: as many as COMMON of the smallest blocks. Shorter texts are left to the signatures.
+COPY = SMALLEST * COMMON
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _LEVELS = 31
 
@@ -223,22 +225,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("x")).select("doc_id", "x.*")
 
 
-def matched_fingerprints(docs: DataFrame, least: int = SCORE) -> DataFrame:
+def matched_fingerprints(docs: DataFrame, least: int = SCORE, copy: int = COPY) -> DataFrame:
     """fingerprints() with, for documents that match others: group_id (the smallest doc_id of all that hang together by matches), partner (a doc_id of the group with another fingerprint that matches this one; null where all partners have the same fingerprint) and score (with the partner, 100 where it is null). Documents without a match have nulls.
 
     Two fingerprints match if signatures of one block size share COMMON characters in a row and the best edit-distance score over their compatible block sizes is least or more: 100 - 100 * edits / both lengths, edits being insertions and deletions; small blocks cap it by what so short signatures can tell, and equal fingerprints score 100. Every fingerprint is a query; all common substrings are candidates, without a cap; equal fingerprints are compared once, and matches inside a known group aren't repeated.
 
-    Cases: null text: null signatures, no match. Empty text: empty signatures, no match; nor have signatures shorter than COMMON, even if equal. Long texts are hashed whole. Repeated rows have the same fingerprint: they match each other if their doc_ids differ. Null doc_id: fingerprint, no match. Empty table: empty result; other columns are ignored.
+    Equal texts (of one fingerprint, length and 64-bit hash) of `copy` bytes or more match with score 100 though their signature, with runs cut to three, be shorter than COMMON: a text that repeats one line has such a one.
+
+    Cases: null text: null signatures, no match. Empty text: empty signatures, no match; nor have signatures shorter than COMMON, even if equal, but those of equal texts from `copy` bytes on. Long texts are hashed whole. Repeated rows have the same fingerprint: they match each other if their doc_ids differ. Null doc_id: fingerprint, no match. Empty table: empty result; other columns are ignored.
     """
-    prints = cut(fingerprints(docs).withColumn("print_id", F.when(F.length("sig1") > 0, F.xxhash64("block", "sig1", "sig2"))), "prints")
+    ensure_importable(docs.sparkSession)
+    # documents of one fingerprint match each other if it is long enough to match at all, others if their texts are equal
+    long_enough = F.length(F.regexp_replace("sig1", r"(.)\1{3,}", r"$1$1$1")) >= COMMON
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("x"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash")).select("doc_id", "x.*", "bytes", "hash")
+    whole = whole.withColumn("print_id", F.when(F.length("sig1") > 0, F.xxhash64("block", "sig1", "sig2")))
+    prints = cut(whole.withColumn("text_id", F.when(~long_enough & (F.col("bytes") >= copy), F.xxhash64("print_id", "bytes", "hash"))).drop("bytes", "hash"), "prints")
     one = cut(prints.filter("print_id is not null and doc_id is not null").groupBy("print_id").agg(F.min("doc_id").alias("doc_id"), F.first("block").alias("block"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2")), "one")
     grams = one.mapInArrow(_grams, "gram long, print_id long")
     edges = grams.withColumn("v", F.min("print_id").over(W.partitionBy("gram"))).filter("print_id != v").select(F.col("print_id").alias("u"), "v")
     parts = connected_components(edges)
     groups_in = one.join(parts.withColumnRenamed("node", "print_id"), "print_id").repartition("component").sortWithinPartitions("component", "print_id")
     links = cut(groups_in.mapInArrow(_verify(least), "print_id long, group_print long, partner long, score long"), "matches")
-    # documents of one fingerprint match each other if it is long enough to match at all
-    long_enough = F.length(F.regexp_replace("sig1", r"(.)\1{3,}", r"$1$1$1")) >= COMMON
-    rows = prints.join(links, "print_id", "left").withColumn("g", F.when(F.col("doc_id").isNotNull(), F.coalesce("group_print", F.when(long_enough, F.col("print_id")))))
+    rows = prints.join(links, "print_id", "left").withColumn("g", F.when(F.col("doc_id").isNotNull(), F.coalesce("group_print", F.when(long_enough, F.col("print_id")), "text_id")))
     of = rows.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("group_id"), F.max("doc_id").alias("last")).filter("last > group_id").drop("last")
     return rows.join(of, "g", "left").select("doc_id", "block", "sig1", "sig2", "group_id", F.when(F.col("group_id").isNotNull(), F.col("partner")).alias("partner"), F.when(F.col("group_id").isNotNull(), F.coalesce("score", F.lit(100)).cast("int")).alias("score"))

@@ -143,6 +143,17 @@ def test_fingerprints_awkward(docs, nothing):
     assert fingerprints.matched_fingerprints(nothing).count() == 0
 
 
+def test_exact_copies_with_short_signatures(spark):
+    line, short = "Thsh " * 600, "Edstou reinan ed for."
+    texts = [line, line, "Thsh " * 599 + "Thsk ", line + "Thsh ", short, short, short[:-2] + "k.", None, None, "", ""]
+    d = spark.createDataFrame([(10 + i, t) for i, t in enumerate(texts)] + [(None, line)], "doc_id long, text string")
+    f = {r["doc_id"]: r for r in fingerprints.matched_fingerprints(d).collect()}
+    assert len(f) == len(texts) + 1
+    assert all(not len(fingerprints.grams_of(f[i]["block"], f[i]["sig1"], f[i]["sig2"])) for i in (10, 14))
+    assert {i: r["group_id"] for i, r in f.items() if r["group_id"] is not None} == {10: 10, 11: 10, 14: 14, 15: 14}
+    assert all(f[i]["score"] == 100 and f[i]["partner"] is None for i in (10, 11, 14, 15))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=6), min_size=1, max_size=14), st.floats(0.2, 0.9))
 def test_spanning_links_have_all_components(sets, t):
