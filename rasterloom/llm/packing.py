@@ -13,20 +13,17 @@ from rasterloom.session import cut, ensure_importable
 
 #: Buckets, padded tokens of a batch, lanes over which the numbering of a bucket is spread.
 BUCKETS, BUDGET, LANES = 16, 65_536, 1024
-#: Lengths are counted exactly up to EXACT and beyond it in steps of 1/STEP of their size, which bounds the histogram whatever the corpus holds.
+#: What rounded() is held to: exact up to EXACT, off by less than 1/STEP beyond. It rounds nothing.
 EXACT, STEP = 2048, 256
 
 
 def rounded(n: np.ndarray) -> np.ndarray:
-    """The length up to which the histogram counts one of n tokens: n itself, or above EXACT the next multiple of a power of two that is n/STEP at most. Never less than n."""
-    n = np.asarray(n, np.int64)
-    unit = np.where(n > EXACT, 1 << np.maximum(np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - int(np.log2(STEP)), 0), 1)
-    return -(-n // unit) * unit
+    """The length under which the histogram counts one of n tokens: n itself."""
+    return np.asarray(n, np.int64)
 
 
 def rounded_sql(n: str) -> Column:
-    unit = f"IF({n} > {EXACT}, shiftleft(1L, greatest(cast(floor(log2({n})) as int) - {int(np.log2(STEP))}, 0)), 1L)"
-    return F.expr(f"CAST(ceil({n} / {unit}) AS BIGINT) * {unit}")
+    return F.expr(f"CAST({n} AS BIGINT)")
 
 
 def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
@@ -46,20 +43,19 @@ def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]
     for _ in range(1, min(buckets, m)):
         new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
         new[0] = 0
-        todo = [(1, m, 0, m - 1)]
-        while todo:
-            nxt = []
-            for lo, hi, a, b in todo:
-                j = (lo + hi) // 2
-                i = np.arange(a, min(b, j - 1) + 1)
-                c = best[i] + L[j] * (N[j] - N[i]) - (S[j] - S[i])
-                k = int(np.argmin(c))
-                new[j], arg[j] = c[k], i[k]
-                if lo < j:
-                    nxt.append((lo, j - 1, a, int(i[k])))
-                if j < hi:
-                    nxt.append((j + 1, hi, int(i[k]), b))
-            todo = nxt
+        lo, hi, a, b = (np.array([v]) for v in (1, m, 0, m - 1))
+        while len(lo):
+            j = (lo + hi) // 2
+            size = np.minimum(b, j - 1) - a + 1
+            first = np.cumsum(size) - size
+            i = np.arange(int(size.sum())) + np.repeat(a - first, size)
+            to = np.repeat(j, size)
+            c = best[i] + L[to] * (N[to] - N[i]) - (S[to] - S[i])
+            new[j] = np.minimum.reduceat(c, first)
+            equal = np.flatnonzero(c == new[to])
+            k = arg[j] = i[equal[np.searchsorted(equal, first)]]
+            left, right = lo < j, j < hi
+            lo, hi, a, b = (np.concatenate((x[left], y[right])) for x, y in ((lo, j + 1), (j - 1, hi), (a, k), (k, b)))
         splits.append(arg)
         best = new
     out, j = [], m
@@ -86,9 +82,9 @@ def token_length(text: Column, vocabulary: str = VOCABULARY) -> Column:
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, lanes: int = LANES, vocabulary: str = VOCABULARY, length: Column | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch, slot, padding: every row of docs in a batch.
 
-    The bucket bounds are optimal for the histogram of all lengths (exact up to EXACT tokens, rounded up by less than 1/STEP beyond). A bucket's rows are ordered by (doc_id modulo lanes, doc_id) and cut into batches of as many as fit into the budget at the bucket's length, one at least. batch counts from 0 inside a bucket, slot inside a batch; padding is bucket_len - n_tokens.
+    The bucket bounds are optimal for the histogram of all lengths as they are. A bucket's rows are ordered by (doc_id modulo lanes, doc_id) and cut into batches of as many as fit into the budget at the bucket's length, one at least. batch counts from 0 inside a bucket, slot inside a batch; padding is bucket_len - n_tokens.
 
-    The lengths are computed once and written. The histogram is bounded by its steps and goes to the driver; numbering is spread over lanes, whose totals alone are summed in order.
+    The lengths are computed once and written. The histogram goes to the driver: t tokens have less than sqrt(2 t) distinct lengths above 0, whatever the corpus holds; numbering is spread over lanes, whose totals alone are summed in order.
 
     Cases: null or empty text: length 0. A text longer than the budget is a batch of its own, whole. Null doc_id: in lane 0, first. Repeated rows are packed each; ties are told apart by length. Empty table: empty result; other columns are ignored.
     """

@@ -517,6 +517,17 @@ def test_rounded_lengths(spark):
     assert [x["r"] for x in sorted(got)] == r.tolist()
 
 
+def test_bounds_of_long_lengths_are_optimal(spark):
+    n = np.random.default_rng(2).integers(1, 60_000, 300)
+    d = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "doc_id long, size long")
+    got = packing.pack(d, buckets=6, length=F.col("size")).toPandas()
+    lengths, counts = np.unique(n, return_counts=True)
+    cost = [0, *[10**12] * len(lengths)]
+    for _ in range(6):  # plainly, every split
+        cost = [min([cost[j], *(cost[i] + int(((lengths[j - 1] - lengths[i:j]) * counts[i:j]).sum()) for i in range(j))]) for j in range(len(cost))]
+    assert got.bucket_len.max() == n.max() and got.padding.sum() == cost[-1] and set(got.bucket_len) <= set(lengths)
+
+
 def test_packing_awkward(docs, nothing):
     r = packing.pack(docs, buckets=4, budget=600, lanes=3).collect()
     assert sorted((str(x["doc_id"]), x["n_tokens"]) for x in r) == sorted((str(x[0]), len(truth(x[1]))) for x in ROWS)
