@@ -19,8 +19,10 @@ LEAST, WINDOW = 20, 20
 LIMITS = {"hex": 2.75, "alnum": 3.7, "base64": 3.9}
 #: Whole candidates that match are no secrets: one letter case without digits (words), digits only, one repeated character, paths.
 ALLOW = (r"[a-z]+", r"[A-Z]+", r"[A-Z]?[a-z]+", r"[0-9]+", r"(.)\1*", r"[-_=+/]+", r"[A-Za-z]+(?:[-_/][A-Za-z]+)+")
+#: Signs of the poorest random keys of each class (base32 among alnum), and the share of such that TAIL's limits may lose.
+SIGNS, TAIL = {"hex": 16, "alnum": 32, "base64": 64}, 0.001
 #: Parts of a candidate that are no secrets either: words in any case, also joined (someName, HTTP), with up to four digits behind, and numbers.
-PROSE = r"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*[0-9]{0,4}|[A-Z]+|[0-9]+)"
+PROSE = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[0-9]{0,4}|[A-Z]+|[0-9]+)"
 MASK = "<SECRET>"
 
 _CAND = np.zeros(256, bool)
@@ -75,18 +77,29 @@ def pieces(s: str) -> Iterator[tuple[str, str]]:
         yield "hex", re.sub("[=_-]", "", m[0])
 
 
+@lru_cache(64)
+def tail(kind: str, window: int) -> float:
+    """The entropy that all but TAIL of random strings of a class reach, one window long, rounded down to 0.05."""
+    x = np.sort(np.random.default_rng(1).integers(0, SIGNS[kind], (50_000, window)), axis=1)
+    edge = np.concatenate((np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]), axis=1)
+    run = np.diff(np.append(np.flatnonzero(edge), x.size))
+    total = np.bincount(np.nonzero(edge)[0], run * np.log2(run), len(x))
+    return float(np.floor(np.quantile(np.log2(window) - total / window, TAIL) * 20) / 20)
+
+
 def judged(text: str, window: int, limits: dict[str, float], skip: re.Pattern | None) -> tuple[str, float] | None:
     """Class and entropy if the run is a finding: its own where it passes as a whole, else those of the first part that passes its class's limit."""
     kind = class_of(text)
     bits, _ = window_entropy(text, window)
     if bits >= limits[kind]:
         return kind, bits
-    for kind, part in pieces(text):
-        if len(part) > 1 and np.log2(min(len(part), window)) >= limits[kind] and not _PROSE.fullmatch(part) and not (skip and skip.fullmatch(part)):
-            bits, _ = window_entropy(part, window)
-            if bits >= limits[kind]:
-                return kind, bits
-    return None
+    low = {k: min(v, tail(k, window)) for k, v in LIMITS.items()} if limits is LIMITS else limits
+    for part_kind, part in pieces(text):
+        if len(part) > 1 and np.log2(min(len(part), window)) >= low[part_kind] and not _PROSE.fullmatch(part) and not (skip and skip.fullmatch(part)):
+            part_bits, _ = window_entropy(part, window)
+            if part_bits >= low[part_kind]:
+                return part_kind, part_bits
+    return (kind, bits) if bits >= low[kind] and not _PROSE.fullmatch(text) else None
 
 
 def find(data: np.ndarray, off: np.ndarray, least: int = LEAST, window: int = WINDOW, limits: dict[str, float] | None = None, allow: tuple[str, ...] = ALLOW) -> list[tuple[int, int, int, str, str, float]]:
@@ -123,7 +136,7 @@ def scan(docs: DataFrame, **parameters) -> DataFrame:
 
     A candidate is a maximal run of at least LEAST characters of A-Z a-z 0-9 + / = _ -. Its class is the narrowest of hex (one case), alnum and base64. Its figure is the highest Shannon entropy of any window of WINDOW characters (the run itself if shorter); from the class's limit it is a finding, unless the whole run matches the allow list.
 
-    A run that isn't one as a whole is judged by its parts, each at the limit of its own class: maximal hex, alnum and base64 sub-runs, cut at = - _ (key=<hex>, sk-<hex>), and neighbouring hex parts together (a UUID). Parts that match the allow list or are words or numbers (PROSE) don't count. The row then has the part's class and entropy; start, end and value stay those of the run, all of which is masked.
+    A run that isn't one as a whole is judged by its parts, each at the limit of its own class: maximal hex, alnum and base64 sub-runs, cut at = - _ (key=<hex>, sk-<hex>), and neighbouring hex parts together (a UUID). Parts that match the allow list or are words or numbers (PROSE) don't count. Without limits given, a run that isn't prose as a whole and its parts are findings from the low tail of random strings on, too (tail()), since short keys often miss LIMITS; prose is held to LIMITS. The row then has the part's class and entropy; start, end and value stay those of the run, all of which is masked.
 
     Cases: null or empty text: no rows. Long texts and runs are scanned whole. Repeated rows give their findings each time; a null doc_id stays null. Equal windows: the first counts. Empty table: empty result; other columns are ignored.
     """

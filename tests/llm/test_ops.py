@@ -492,6 +492,20 @@ def test_secrets_glued_or_cut():
     assert not secret_scan.find(*utf8(pa.array(["some_module/SomeClassName-2026_11_25 order=1234567890123456 -" + "-" * 5000 + "word" * 5000 + "=a7"])))
 
 
+def test_recall_of_random_keys_by_class_and_length():
+    r = random.Random(6)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    signs = {"hex": "0123456789abcdef", "base32": upper + "234567", "upper": upper + "0123456789", "lower": lower + "0123456789", "base62": upper + lower + "0123456789", "base64": upper + lower + "0123456789+/", "url": upper + lower + "0123456789-_"}
+    for name, own in signs.items():
+        for n in (20, 24, 32, 40):
+            keys = ["".join(r.choices(own, k=n)) for _ in range(1000)]
+            keys = [k for k in keys if not any(re.fullmatch(a, k) for a in secret_scan.ALLOW)]
+            assert len(secret_scan.find(*utf8(pa.array(keys)))) >= 0.985 * len(keys), (name, n)
+    keys = ["AKIA" + "".join(r.choices(signs["upper"], k=16)) for _ in range(1000)]
+    assert len(secret_scan.find(*utf8(pa.array(keys)))) >= 980
+    assert not secret_scan.find(*utf8(pa.array(["some_module/SomeClassName2026-11-25 addListenerEndedAtLast2 one-2026-11-25-two-release"])))
+
+
 # -- 10 packing
 
 
