@@ -32,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write df once to the shared folder and read it again: later stages don't recompute it, and a lost executor costs nothing but its own tasks."""
     spark = df.sparkSession
