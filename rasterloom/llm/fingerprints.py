@@ -8,10 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from rasterloom.llm.components import connected_components
-from rasterloom.llm.grouping import groups, spanning_links
+from rasterloom.llm.grouping import Groups, blocks, whole_groups
 from rasterloom.llm.text import U64, mix, span_hashes, utf8
 from rasterloom.session import cut, ensure_importable
 
@@ -19,6 +17,8 @@ from rasterloom.session import cut, ensure_importable
 WINDOW, SMALLEST, LENGTH, COMMON, SCORE = 7, 3, 64, 7, 50
 #: Bytes from which equal texts match whatever their signature: as many as COMMON of the smallest blocks. Shorter texts are left to the signatures.
 COPY = SMALLEST * COMMON
+#: Holders of one substring that a task compares with each other; more are compared in a grid of such parts.
+PART = 2048
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _LEVELS = 31
 
@@ -121,13 +121,44 @@ def grams_of(block: int, sig1: str, sig2: str) -> np.ndarray:
     return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+def substrings(block: np.ndarray, sig1: pa.Array, sig2: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For many fingerprints at once, rows sorted and distinct: index of the fingerprint, key as in grams_of(), and the character before the substring (0 at the start)."""
+    out = []
+    for factor, column in ((1, sig1), (2, sig2)):
+        data, off = utf8(column)
+        if len(data) > 3:
+            run = np.zeros(len(data), bool)
+            run[3:] = (data[3:] == data[2:-1]) & (data[3:] == data[1:-2]) & (data[3:] == data[:-3])
+            for k in range(3):
+                at = off[:-1] + k
+                run[at[at < off[1:]]] = False
+            off = np.concatenate(([0], np.cumsum(~run)))[off]
+            data = data[~run]
+        m = max(len(data) - COMMON + 1, 0)
+        v = np.zeros(m, U64)
+        for j in range(COMMON):
+            v = v << U64(8) | data[j : j + m]
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:m]
+        before = np.concatenate((np.zeros(1, np.uint8), data))[:m].astype(np.int64)
+        before[off[:-1][off[:-1] < m]] = 0
+        ok = np.arange(m) + COMMON <= off[1:][doc]
+        doc, v, before = doc[ok], v[ok], before[ok]
+        out.append((doc, (mix(v ^ mix((factor * block[doc]).astype(U64))) >> U64(1)).astype(np.int64), before))
+    doc, key, before = (np.concatenate(x) for x in zip(*out))
+    by = np.lexsort((before, key, doc))
+    doc, key, before = doc[by], key[by], before[by]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (before[1:] != before[:-1])
+    return doc[new], key[new], before[new]
+
+
 class Comparer:
-    """Scores (0 to 100) of one fingerprint with many, by bit-parallel longest common subsequences over 64-bit words."""
+    """Scores (0 to 100) of fingerprints with each other, by bit-parallel longest common subsequences over 64-bit words, many pairs at once."""
 
     def __init__(self, prints: list[tuple[int, str, str]]) -> None:
         n = len(prints)
         self.block = np.array([p[0] for p in prints], np.int64)
-        self.chars = np.full((n, 2, LENGTH), 255, np.uint8)
+        self.chars = np.full((n, 2, LENGTH), 64, np.uint8)
         self.size = np.zeros((n, 2), np.int64)
         code = np.zeros(256, np.uint8)
         code[_ALPHABET] = np.arange(64)
@@ -137,88 +168,140 @@ class Comparer:
                 self.chars[i, k, : len(a)] = a
                 self.size[i, k] = len(a)
 
-    def _score(self, i: int, k: int, js: np.ndarray, l: int) -> np.ndarray:  # noqa: E741
-        m = int(self.size[i, k])
-        if not m or not len(js):
-            return np.zeros(len(js), np.int64)
-        masks = np.zeros(256, U64)
-        for x in range(m):
-            masks[self.chars[i, k, x]] |= U64(1 << x)
-        masks[255] = 0
-        other = self.chars[js, l]
-        v = np.full(len(js), (1 << 64) - 1, U64)
-        for x in range(int(self.size[js, l].max())):
-            y = v & masks[other[:, x]]
+    def _pairs(self, i: np.ndarray, k: int, j: np.ndarray, l: int) -> np.ndarray:  # noqa: E741
+        """Scores of signature k of prints i with signature l of prints j."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        own, row = np.unique(i, return_inverse=True)
+        masks = np.zeros((len(own), 65), U64)  # for every print and character, the places where it stands
+        for x in range(LENGTH):
+            masks[np.arange(len(own)), self.chars[own, k, x]] |= U64(1 << x)
+        masks[:, 64] = 0
+        flat, base = masks.ravel(), row * 65
+        m, n = self.size[i, k], self.size[j, l]
+        v = np.full(len(i), (1 << 64) - 1, U64)
+        for x in range(int(n.max())):
+            y = v & flat[base + self.chars[j, l, x]]
             v = (v + y) | (v - y)
-        full = U64((1 << m) - 1)
+        full = np.where(m == 64, U64((1 << 64) - 1), (U64(1) << np.minimum(m, 63).astype(U64)) - U64(1))
         common = np.bitwise_count(~v & full).astype(np.int64)
-        both = m + self.size[js, l]
-        edit = both - 2 * common
-        score = 100 - 100 * (edit * LENGTH // np.maximum(both, 1)) // LENGTH
+        both = m + n
+        score = 100 - 100 * ((both - 2 * common) * LENGTH // np.maximum(both, 1)) // LENGTH
         b = self.block[i] << k
-        if b < (99 + WINDOW) // WINDOW * SMALLEST:
-            score = np.minimum(score, b // SMALLEST * np.minimum(m, self.size[js, l]))
-        return np.where(self.size[js, l] > 0, score, 0)
+        score = np.where(b < (99 + WINDOW) // WINDOW * SMALLEST, np.minimum(score, b // SMALLEST * np.minimum(m, n)), score)
+        return np.where((m > 0) & (n > 0), score, 0)
 
-    def matches(self, i: int, js: np.ndarray, least: int) -> np.ndarray:
-        """Whether the score is least or more. Signatures of lengths m and n differ by |m - n| edits at least, so most unequal ones need no comparison."""
-        out = np.zeros(len(js), bool)
-        hope = np.zeros(len(js), bool)
+    def _score(self, i: int, k: int, js: np.ndarray, l: int) -> np.ndarray:  # noqa: E741
+        return self._pairs(np.full(len(js), i), k, js, l)
+
+    def hopeful(self, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+        """Whether a pair has signatures of one block size that can score least: signatures of lengths m and n differ by |m - n| edits at least."""
+        hope = np.zeros(len(i), bool)
         for k in (0, 1):
             for l in (0, 1):  # noqa: E741
-                m, n = self.size[i, k], self.size[js, l]
-                hope |= (self.block[js] << l == self.block[i] << k) & (100 - 100 * (np.abs(m - n) * LENGTH // np.maximum(m + n, 1)) // LENGTH >= least)
-        at = np.flatnonzero(hope)
-        out[at] = self.scores(i, js[at]) >= least
-        return out
+                m, n = self.size[i, k], self.size[j, l]
+                hope |= (self.block[j] << l == self.block[i] << k) & (100 - 100 * (np.abs(m - n) * LENGTH // np.maximum(m + n, 1)) // LENGTH >= least)
+        return hope
 
-    def scores(self, i: int, js: np.ndarray) -> np.ndarray:
-        """The best over the block sizes that both have signatures for."""
-        out = np.zeros(len(js), np.int64)
+    def of_pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The best score of each pair over the block sizes that both have signatures for."""
+        out = np.zeros(len(i), np.int64)
         for k in (0, 1):
             for l in (0, 1):  # noqa: E741
-                at = np.flatnonzero(self.block[js] << l == self.block[i] << k)
-                if len(at):
-                    out[at] = np.maximum(out[at], self._score(i, k, js[at], l))
+                at = np.flatnonzero(self.block[j] << l == self.block[i] << k)
+                out[at] = np.maximum(out[at], self._pairs(i[at], k, j[at], l))
         return out
 
+    def matches(self, i: int, js: np.ndarray, least: int) -> np.ndarray:
+        """Whether the scores of i with js are least or more."""
+        out = np.zeros(len(js), bool)
+        at = np.flatnonzero(self.hopeful(np.full(len(js), i), js, least))
+        out[at] = self.scores(i, js[at]) >= least
+        return out
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(self, i: int, js: np.ndarray) -> np.ndarray:
+        return self.of_pairs(np.full(len(js), i), js)
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [grams_of(*r) for r in zip(*(b.column(c).to_pylist() for c in ("block", "sig1", "sig2")))]
-        if rows:
-            ids = np.repeat(b.column("print_id").to_numpy(), [len(r) for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(ids)], ["gram", "print_id"])
+        doc, key, before = substrings(b.column("block").to_numpy(), b.column("sig1"), b.column("sig2"))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(before.astype(np.int8)), b.column("id").take(pa.array(doc))], ["gram", "before", "id"])
+
+
+def _prints(t: pa.Table | pa.RecordBatch) -> list[tuple[int, str, str]]:
+    return list(zip(*(t.column(c).to_pylist() for c in ("block", "sig1", "sig2"))))
 
 
-def _verify(least: int):
+_LINKED = "u long, v long, cu long, cv long, score double"
+
+
+def _compare(least: int):
+    """Of beside()'s rows the pairs that match."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, "component"):
-            comp = t.column("component").to_numpy()
-            ids, docs = t.column("print_id").to_numpy(), t.column("doc_id").to_numpy()
-            prints = list(zip(*(t.column(c).to_pylist() for c in ("block", "sig1", "sig2"))))
-            edges = np.concatenate(([0], np.flatnonzero(comp[1:] != comp[:-1]) + 1, [len(comp)]))
-            rows = []
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if hi - lo < 2:
+        for head, part in blocks(batches):
+            own = Comparer(_prints(head) + _prints(part))
+            score = own.scores(0, np.arange(1, part.num_rows + 1))
+            keep = pa.array(score >= least)
+            if keep.true_count:
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(keep) for c in ("u", "v", "cu", "cv")), pa.array(score.astype(float)).filter(keep)], ["u", "v", "cu", "cv", "score"])
+
+    return run
+
+
+def _grid(least: int, chunk: int = 1 << 16):
+    """Of the holders of each substring (rows sorted by cell) all pairs in different groups that match. A pair counts only where its common substring begins: where the characters before differ or one is at its start. In a cell of two parts only pairs across them count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "cell"):
+            cell, ids, comp, before, part = (t.column(c).to_numpy() for c in ("cell", "id", "comp", "before", "part"))
+            edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
+            left, right = [], []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                c, p, s, d = comp[lo:hi], before[lo:hi], part[lo:hi], ids[lo:hi]
+                if (c == c[0]).all():
                     continue
-                own = Comparer(prints[lo:hi])
-                pairs, root = spanning_links([grams_of(*p) for p in prints[lo:hi]], lambda i, js, shared, own=own: own.matches(i, js, least))
-                partner = {}
-                for i, j in pairs:
-                    partner.setdefault(i, j)
-                    partner.setdefault(j, i)
-                smallest: dict[int, int] = {}
-                for i, r in enumerate(root):
-                    smallest[r] = min(smallest.get(r, ids[lo + i]), ids[lo + i])
-                for i, j in partner.items():
-                    rows.append((ids[lo + i], smallest[root[i]], docs[lo + j], int(own.scores(i, np.array([j]))[0])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["print_id", "group_print", "partner", "score"])
+                across = bool((s != s[0]).any())
+                for at in range(0, hi - lo, PART):
+                    x = slice(at, at + PART)
+                    meet = (c[x, None] != c) & ((p[x, None] != p) | (p[x, None] == 0)) & (d[x, None] > d)
+                    if across:
+                        meet &= s[x, None] != s
+                    i, j = np.nonzero(meet)
+                    left.append(i + lo + at)
+                    right.append(j + lo)
+            i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+            if not len(i):
+                continue
+            # one print stands in many cells: compare distinct pairs
+            own, at, number = np.unique(ids, return_index=True, return_inverse=True)
+            pair = np.unique(number[i] * len(own) + number[j])
+            i, j = pair // len(own), pair % len(own)
+            prints = Comparer(_prints(t.take(pa.array(at))))
+            hope = prints.hopeful(i, j, least)
+            i, j = i[hope], j[hope]
+            for k in range(0, len(i), chunk):
+                a, b = i[k : k + chunk], j[k : k + chunk]
+                score = prints.of_pairs(a, b)
+                ok = score >= least
+                if ok.any():
+                    a, b = a[ok], b[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[a], own[b], comp[at[a]], comp[at[b]], score[ok].astype(float))], ["u", "v", "cu", "cv", "score"])
 
     return run
 
 
+def _rest(shared: DataFrame, groups: Groups, least: int) -> DataFrame:
+    """(u, v, cu, cv, score): all pairs that share a substring, match, and are still in different groups."""
+    rows = shared.join(groups.state.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = rows.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("gram", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = rows.join(mixed, "gram").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = rows.select("*", other).withColumn("cell", F.xxhash64("gram", F.least("part", "other"), F.greatest("part", "other"))).join(groups.items, "id")
+    return cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_grid(least), _LINKED)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, block, sig1, sig2 for each row of docs."""
     ensure_importable(docs.sparkSession)
@@ -226,7 +309,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def matched_fingerprints(docs: DataFrame, least: int = SCORE, copy: int = COPY) -> DataFrame:
-    """fingerprints() with, for documents that match others: group_id (the smallest doc_id of all that hang together by matches), partner (a doc_id of the group with another fingerprint that matches this one; null where all partners have the same fingerprint) and score (with the partner, 100 where it is null). Documents without a match have nulls.
+    """fingerprints() with, for documents that match others: group_id (the smallest doc_id of all that hang together by matches), partner (a doc_id of the group with another fingerprint that matches this one, the best of those compared with it; null where all partners have the same fingerprint) and score (with the partner, 100 where it is null). Documents without a match have nulls.
 
     Two fingerprints match if signatures of one block size share COMMON characters in a row and the best edit-distance score over their compatible block sizes is least or more: 100 - 100 * edits / both lengths, edits being insertions and deletions; small blocks cap it by what so short signatures can tell, and equal fingerprints score 100. Every fingerprint is a query; all common substrings are candidates, without a cap; equal fingerprints are compared once, and matches inside a known group aren't repeated.
 
@@ -240,12 +323,20 @@ def matched_fingerprints(docs: DataFrame, least: int = SCORE, copy: int = COPY)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("x"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash")).select("doc_id", "x.*", "bytes", "hash")
     whole = whole.withColumn("print_id", F.when(F.length("sig1") > 0, F.xxhash64("block", "sig1", "sig2")))
     prints = cut(whole.withColumn("text_id", F.when(~long_enough & (F.col("bytes") >= copy), F.xxhash64("print_id", "bytes", "hash"))).drop("bytes", "hash"), "prints")
-    one = cut(prints.filter("print_id is not null and doc_id is not null").groupBy("print_id").agg(F.min("doc_id").alias("doc_id"), F.first("block").alias("block"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2")), "one")
-    grams = one.mapInArrow(_grams, "gram long, print_id long")
-    edges = grams.withColumn("v", F.min("print_id").over(W.partitionBy("gram"))).filter("print_id != v").select(F.col("print_id").alias("u"), "v")
-    parts = connected_components(edges)
-    groups_in = one.join(parts.withColumnRenamed("node", "print_id"), "print_id").repartition("component").sortWithinPartitions("component", "print_id")
-    links = cut(groups_in.mapInArrow(_verify(least), "print_id long, group_print long, partner long, score long"), "matches")
+    one = cut(prints.filter("print_id is not null and doc_id is not null").groupBy(F.col("print_id").alias("id")).agg(F.first("block").alias("block"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2")), "one")
+    grams = one.mapInArrow(_substrings, "gram long, before byte, id long").repartition("gram")
+    hubs = grams.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    shared = cut(grams.join(hubs.hint("shuffle_hash"), "gram"), "shared")
+    groups = Groups(one, lambda rows: rows.mapInArrow(_compare(least), _LINKED))
+    # first each substring's holders with its first and its last one, then all that are still apart
+    ends = F.array(F.struct(F.lit(1).alias("level"), F.col("a").alias("v")), F.struct(F.lit(0).alias("level"), F.col("b").alias("v")))
+    met = shared.select(F.col("id").alias("u"), F.explode(ends).alias("w")).filter("u != w.v")
+    groups.descend(met.groupBy("u", F.col("w.v").alias("v")).agg(F.max("w.level").alias("level")))
+    groups.merge(_rest(shared, groups, least), 0)
+    reps = prints.filter("doc_id is not null").groupBy("print_id").agg(F.min("doc_id").alias("doc"))
+    both = groups.links.union(groups.links.select("v", "u", "score")).join(reps.withColumnRenamed("print_id", "v"), "v")
+    best = both.groupBy("u").agg(F.min_by(F.struct(F.col("doc").alias("partner"), "score"), F.struct(-F.col("score"), "doc")).alias("x"))
+    links = groups.state.join(best.withColumnRenamed("u", "id"), "id").select(F.col("id").alias("print_id"), F.col("comp").alias("group_print"), "x.*")
     rows = prints.join(links, "print_id", "left").withColumn("g", F.when(F.col("doc_id").isNotNull(), F.coalesce("group_print", F.when(long_enough, F.col("print_id")), "text_id")))
     of = rows.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("group_id"), F.max("doc_id").alias("last")).filter("last > group_id").drop("last")
     return rows.join(of, "g", "left").select("doc_id", "block", "sig1", "sig2", "group_id", F.when(F.col("group_id").isNotNull(), F.col("partner")).alias("partner"), F.when(F.col("group_id").isNotNull(), F.coalesce("score", F.lit(100)).cast("int")).alias("score"))

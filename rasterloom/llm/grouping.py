@@ -1,15 +1,103 @@
-"""Exact grouping inside candidate components: a spanning forest of verified links, without comparing every pair."""
+"""Groups by verified pairs: rounds of candidate pairs, each compared on its own, merge what they link."""
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from rasterloom.llm.components import connected_components
+from rasterloom.session import cut
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+#: Pairs that one block compares with the same item, and pairs (40 bytes each) up to which a round's pairs are broadcast to the items; more are joined by shuffle.
+BLOCK, BROADCAST = 512, 1 << 18
+
+
+def beside(pairs: DataFrame, items: DataFrame, n_pairs: int, block: int = BLOCK) -> DataFrame:
+    """The items of pairs (u, v, cu, cv) in blocks (v, salt), in order: v's item in a row whose u is null, then those of about `block` of its us. items: id and what is compared. An item with many pairs is in as many blocks as they fill, so no task's work grows with a group."""
+    few = F.broadcast if n_pairs <= BROADCAST else lambda d: d
+    degree = pairs.groupBy("v").agg(F.count("*").alias("n"))
+    salted = pairs.join(few(degree), "v").withColumn("salt", F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / block)).cast("int")).drop("n")
+    ends = items.join(few(salted), items["id"] == salted["u"]).drop("id")
+    hubs = salted.select("v", "salt").distinct()
+    none = F.lit(None).cast("long")
+    heads = items.join(few(hubs), items["id"] == hubs["v"]).drop("id").withColumns({"u": none, "cu": none, "cv": none})
+    return heads.unionByName(ends).repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """From beside()'s batches: a row with v's item, and rows with items to compare with it (a block may come in several parts)."""
+    head = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        start = np.flatnonzero(b.column("u").is_null().to_numpy(zero_copy_only=False))
+        first = int(start[0]) if len(start) else b.num_rows
+        if first and head is not None:
+            yield head, b.slice(0, first)
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), b.num_rows]):
+            head = b.slice(i, 1)
+            if j > i + 1:
+                yield head, b.slice(i + 1, j - i - 1)
+
+
+class Groups:
+    """Groups that grow by rounds of candidate pairs.
+
+    state has (id, comp, stop) of every id that is linked so far: its group's name (an id of it) and the level at which its own search ends (null: it goes on to the last). links has (u, v, score) of all verified pairs.
+    """
+
+    def __init__(self, items: DataFrame, compare: Callable[[DataFrame], DataFrame], ends: Callable[[int], Column] | None = None) -> None:
+        """compare: from beside()'s rows to (u, v, cu, cv, score) of the pairs that are linked. ends: for the level reached, an aggregate over a group's links that gives the level at which its ids' search ends if no more are found."""
+        spark = items.sparkSession
+        self.items, self.compare, self.ends = items, compare, ends
+        self.state = spark.createDataFrame([], "id long, comp long, stop int")
+        self.links = spark.createDataFrame([], "u long, v long, score double")
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """pairs (u, v, level) whose ends are in different groups and of which one at least still searches at the level, with these groups as cu and cv."""
+        a, b = (self.state.select(F.col("id").alias(x), F.col("comp").alias("c" + x), F.col("stop").alias("s" + x)) for x in "uv")
+        joined = pairs.join(a, "u", "left").join(b, "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")})
+        return joined.filter("cu != cv and least(coalesce(su, 0), coalesce(sv, 0)) <= level").select("u", "v", "level", "cu", "cv")
+
+    def descend(self, pairs: DataFrame) -> None:
+        """Compare pairs (u, v, level) level by level from the deepest on and merge the groups that are linked; what an earlier level has brought together isn't compared."""
+        while True:
+            now = cut(self.apart(pairs), "pairs")
+            sizes = sorted(((r["level"], r["count"]) for r in now.groupBy("level").count().collect()), reverse=True)
+            for level, n in sizes:
+                if self.step(now.filter(F.col("level") == level), n, level):
+                    break
+            if not sizes or level == sizes[-1][0]:
+                return
+            pairs = now.filter(F.col("level") < level).select("u", "v", "level")
+
+    def step(self, pairs: DataFrame, n: int, level: int) -> bool:
+        """Compare n pairs (u, v, cu, cv) and merge the groups that are linked. Whether any are."""
+        return n > 0 and self.merge(self.compare(beside(pairs.select("u", "v", "cu", "cv"), self.items, n)), level)
+
+    def merge(self, found: DataFrame, level: int) -> bool:
+        """Merge the groups of found (u, v, cu, cv, score), pairs that are linked and their groups so far. Whether there are any."""
+        found = cut(found, "links")
+        if found.isEmpty():
+            return False
+        merged = connected_components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        self.links = self.links.union(found.select("u", "v", "score").dropDuplicates(["u", "v"]))
+        ids = self.state.union(found.select("u", "cu", F.lit(None).cast("int"))).union(found.select("v", "cv", F.lit(None).cast("int")))
+        ids = ids.groupBy("id").agg(F.max("comp").alias("comp"), F.max("stop").alias("stop"))
+        moved = ids.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"), "stop")
+        if self.ends is not None:
+            of = self.links.join(moved.select(F.col("id").alias("u"), "comp"), "u").groupBy("comp").agg(self.ends(level).alias("end"))
+            # what has ended stays so; what would end at a later level is judged anew
+            moved = moved.join(of, "comp", "left").select("id", "comp", F.when(F.col("stop") > level, F.col("stop")).otherwise(F.col("end")).alias("stop"))
+        self.state = cut(moved, "state")
+        return True
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups (one or many a table) from batches sorted by key: a table never ends inside a group."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -28,80 +116,3 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held = [b.slice(int(change[-1]))]
     if held:
         yield pa.Table.from_batches(held)
-
-
-class Overlaps:
-    """An inverted index of integer sets: how many elements a set shares with each indexed one."""
-
-    def __init__(self) -> None:
-        self.lists: dict[int, array] = {}
-        self.n = 0
-
-    def add(self, items: list[int]) -> None:
-        for x in items:
-            if x in self.lists:
-                self.lists[x].append(self.n)
-            else:
-                self.lists[x] = array("i", (self.n,))
-        self.n += 1
-
-    def counts(self, items: list[int]) -> np.ndarray:
-        hit = [np.frombuffer(self.lists[x], np.int32) for x in items if x in self.lists]
-        return np.bincount(np.concatenate(hit), minlength=self.n) if hit else np.zeros(self.n, np.int64)
-
-
-def spanning_links(sets: list[np.ndarray], linked: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links (i, j) forming a spanning forest of the graph in which linked(i, js, shared) says which pairs are joined, and each set's root.
-
-    Exact as to components: first every set is tried against the leaders (those that matched no earlier leader); then leaders' clusters that are still apart are compared member by member until they join or all pairs have failed. Pairs inside one cluster are never compared again, so a group of near copies costs about its size times its leaders. Sets that share nothing are never linked.
-    """
-    n = len(sets)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links: list[tuple[int, int]] = []
-
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            links.append((i, j))
-
-    items = [s.tolist() for s in sets]
-    index, leaders = Overlaps(), []
-    for i in range(n):
-        shared = index.counts(items[i])
-        at = np.flatnonzero(shared)
-        if len(at):
-            js = np.array(leaders)[at]
-            ok = linked(i, js, shared[at])
-            for j in js[ok]:
-                join(i, int(j))
-            if ok.any():
-                continue
-        leaders.append(i)
-        index.add(items[i])
-    if len({find(i) for i in leaders}) > 1:
-        members: dict[int, list[int]] = {}
-        for i in range(n):
-            members.setdefault(find(i), []).append(i)
-        index, ids = Overlaps(), np.zeros(0, np.int64)
-        for own in sorted(members.values(), key=len, reverse=True):
-            # against all clusters seen so far, smaller clusters as queries
-            for i in own if len(ids) else ():
-                shared = index.counts(items[i])
-                at = np.flatnonzero(shared)
-                at = at[np.fromiter((find(j) != find(i) for j in ids[at].tolist()), bool, len(at))]
-                if len(at):
-                    ok = linked(i, ids[at], shared[at])
-                    for j in ids[at][ok].tolist():
-                        join(i, j)
-            for i in own:
-                index.add(items[i])
-            ids = np.append(ids, own)
-    return links, np.array([find(i) for i in range(n)], np.int64)
