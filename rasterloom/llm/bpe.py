@@ -17,8 +17,10 @@ from rasterloom.session import ensure_importable
 #: Bytes under the rolling hash, bits of it that are zero at a boundary (chunks of 2^BITS bytes on average), bytes of chunks that a worker keeps (twice at most).
 WINDOW, BITS, KEPT = 24, 9, 24 << 20
 
-#: Where one space stands between two other characters, the pre-tokenizer always splits before it, whatever surrounds it: no alternative of the pattern goes from a non-space to a space, and the space begins the next piece. On either side of such a place the encodings are independent.
-_AGREED = regex.compile(r"(?<=\S) (?=\S)")
+#: Places at which the pre-tokenizer splits whatever surrounds them: from a visible character to white space, from a letter to a digit or a sign, from a digit to a letter or a sign, and from an ideograph or kana to a full-width sign. No alternative of its pattern goes on over one, none looks back, and the character before isn't white space, so nothing on the left waits for what follows. The encodings on either side are independent. The classes are spelled out, as libraries differ on rare characters.
+_SIGN, _WIDE = r"!-/:-@\[-`{-~", r"\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_PLACE = rf"(?:(?<=[!-~\u00c0-\u00d6\u00d8-\u00f6{_WIDE}])(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9{_SIGN}])|(?<=[0-9])(?=[A-Za-z{_SIGN}])|(?<=[{_WIDE}])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]))"
+_FIRST, _LAST = regex.compile(_PLACE), regex.compile("(?r)" + _PLACE)
 _STARTS = np.array([(b & 0xC0) != 0x80 for b in range(256)])
 
 
@@ -70,13 +72,10 @@ class Chunks:
         return x
 
     def make(self, text: str) -> tuple[str, np.ndarray | None, str]:
-        first = _AGREED.search(text)
+        first = _FIRST.search(text)
         if not first:
             return text, None, ""
-        last = first.start() if (j := text.rfind(" ")) < 0 else j
-        while last > first.start() and not _AGREED.match(text, last):
-            last = text.rfind(" ", 0, last)
-        i, j = first.start(), max(last, first.start())
+        i, j = first.start(), _LAST.search(text).start()
         return text[:i], np.array(self.encode(text[i:j]), np.int32), text[j:]
 
     def document(self, chunks: list[bytes]) -> np.ndarray:

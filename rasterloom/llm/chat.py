@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rasterloom.llm.text import U64, mix
 from rasterloom.llm.tokens import VOCABULARY, encode
 from rasterloom.session import cut, ensure_importable
 
@@ -29,49 +30,58 @@ def turn_tokens(role: Column, text: Column, vocabulary: str = VOCABULARY) -> Col
 _PLACE = "struct<start:long,position:long,attention:array<struct<from:long,to:long>>>"
 
 
-def _mix(h: int, x: int) -> int:
-    h = (h * 0x9FB21C651E98DF25 + x + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return h ^ (h >> 31)
+def _parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists, and where the flattened one of each begins (one more entry at the end)."""
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return size, np.concatenate(([0], np.cumsum(size)))
 
 
-def _path(hashes: pa.Array) -> pa.Array:
-    """For each list of turn hashes the ids of its tree nodes: a node's id is the hash of all turns up to it."""
-    out = []
-    for turns in hashes.to_pylist():
-        h, path = 0, []
-        for t in turns or []:
-            h = _mix(h, t & 0xFFFFFFFFFFFFFFFF)
-            path.append(h >> 1)
-        out.append(path)
-    return pa.array(out, pa.list_(pa.int64()))
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted intervals with those that touch made one; empty ones go."""
-    out: list[tuple[int, int]] = []
-    for i, j in spans:
-        if i == j:
-            continue
-        if out and out[-1][1] == i:
-            out[-1] = (out[-1][0], j)
-        else:
-            out.append((i, j))
-    return out
+def _path(turns: pa.Array) -> pa.Array:
+    """For each list of turn hashes (two of each turn) the ids of its tree nodes: a node's id is 128 bits of hash of all turns up to it, with which no two prefixes of a corpus are taken for one."""
+    size, start = _parts(turns)
+    flat = turns.flatten()
+    lanes = [flat.field(f).to_numpy(zero_copy_only=False).view(U64) for f in ("h", "g")]
+    ids = np.empty((len(flat), 2), U64)
+    state = np.zeros((len(size), 2), U64)
+    for depth in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > depth)
+        at = start[on] + depth
+        for k, x in enumerate(lanes):
+            state[on, k] = mix(state[on, k] * U64(0x9FB21C651E98DF25) + x[at] + U64(0x9E3779B97F4A7C15))
+        ids[at] = state[on]
+    flat_ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), flat_ids)
 
 
 def _place(steps: pa.Array) -> pa.Array:
-    """From a node's ancestors and itself (offset in the parent's range, tokens), root first: its start, its first position id and the ancestors' intervals."""
-    out = []
-    for path in steps.to_pylist():
-        at, position, spans = 0, 0, []
-        for s in path:
-            at += s["offset"]
-            spans.append((at, at + s["size"]))
-            position += s["size"]
-        out.append({"start": at, "position": position - path[-1]["size"], "attention": [{"from": i, "to": j} for i, j in merged(spans[:-1])]})
-    return pa.array(out, pa.struct([("start", pa.int64()), ("position", pa.int64()), ("attention", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]))
+    """From a node's ancestors and itself (offset in the parent's range, tokens), root first: its start, its first position id and the ancestors' intervals, those that touch made one and empty ones left out."""
+    size, start = _parts(steps)
+    flat = steps.flatten()
+    offset, tokens = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("offset", "size"))
+    row = np.repeat(np.arange(len(size)), size)
+    sums = [np.concatenate(([0], np.cumsum(x))) for x in (offset, tokens)]
+    begin = sums[0][1:] - sums[0][start[row]]  # of every ancestor, in the tree's sequence
+    last = start[1:] - 1
+    position = sums[1][last] - sums[1][start[:-1]]
+    above = np.ones(len(flat), bool)
+    above[last] = False
+    keep = np.flatnonzero(above & (tokens > 0))
+    i, j, of = begin[keep], begin[keep] + tokens[keep], row[keep]
+    new = np.ones(len(keep), bool)
+    new[1:] = (of[1:] != of[:-1]) | (i[1:] != j[:-1])
+    ends = np.append(np.flatnonzero(new)[1:], len(keep)) - 1 if len(keep) else np.zeros(0, np.int64)
+    spans = pa.StructArray.from_arrays([pa.array(i[new]), pa.array(j[ends])], ["from", "to"])
+    bounds = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[new], minlength=len(size))))), pa.int32())
+    return pa.StructArray.from_arrays([pa.array(begin[last]), pa.array(position), pa.ListArray.from_arrays(bounds, spans)], ["start", "position", "attention"])
+
+
+def _before(children: DataFrame) -> DataFrame:
+    """children (node, parent, conv_id, subtree, ...) with `earlier`, the subtrees of the siblings with smaller conv_ids. They are sorted by range over all executors and summed in two steps, so a parent with very many children is shared out."""
+    parts = cut(children.repartitionByRange("parent", "conv_id").withColumn("part", F.spark_partition_id()), "siblings")
+    totals = parts.groupBy("parent", "part").agg(F.sum("subtree").alias("of_part"))
+    before = totals.select("parent", "part", (F.sum("of_part").over(W.partitionBy("parent").orderBy("part")) - F.col("of_part")).alias("before"))
+    inside = F.sum("subtree").over(W.partitionBy("parent", "part").orderBy("conv_id")) - F.col("subtree")
+    return parts.withColumn("inside", inside).join(before, ["parent", "part"]).withColumn("earlier", F.col("inside") + F.col("before")).drop("inside", "before", "part")
 
 
 def prefix_tree(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -79,7 +89,7 @@ def prefix_tree(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataF
 
     Conversations whose first turns (role and text) are equal share nodes up to the first difference; shared tokens are emitted once. Siblings come in the order of the smallest conv_id that passes through them. A conversation reads back as the ancestors' intervals followed by the node's own tokens.
 
-    At scale: nodes are made by grouping on 63-bit hashes of whole prefixes, subtree sizes and starts by joining each node with its ancestors (nodes times depth rows), so a first turn that all share is no bottleneck but for ordering its children.
+    At scale: nodes are made by grouping on 128-bit hashes of whole prefixes, subtree sizes and starts by joining each node with its ancestors (nodes times depth rows); siblings are ordered by range, so a first turn that all share is no bottleneck.
 
     Cases: null conv_id: the row is left out. Null turn comes first; equal turns are ordered by role and text, so repeated rows are turns of their own. Null role or text counts as empty. Long texts stay whole. Empty table: empty result; other columns are ignored.
     """
@@ -87,19 +97,18 @@ def prefix_tree(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataF
     turns = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     turns = turns.withColumn("depth", F.row_number().over(order) - 1).withColumn("tokens", turn_tokens(F.col("role"), F.col("text"), vocabulary))
-    turns = cut(turns.select("conv_id", "depth", F.xxhash64("role", "text").alias("h"), "tokens"), "turns")
-    paths = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "h"))).alias("t")).select("conv_id", F.arrow_udf(_path, "array<long>")(F.col("t.h")).alias("path"))
+    turns = cut(turns.select("conv_id", "depth", F.xxhash64("role", "text").alias("h"), F.xxhash64("text", F.lit(1), "role").alias("g"), "tokens"), "turns")
+    paths = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "h", "g"))).alias("t")).select("conv_id", F.arrow_udf(_path, "array<binary>")("t").alias("path"))
     paths = cut(paths, "paths")
     at = paths.select("conv_id", F.posexplode("path").alias("depth", "node"), "path")
     nodes = at.groupBy("node").agg(F.min("conv_id").alias("conv_id"), F.min("depth").alias("depth"), F.count("*").alias("n_convs"), F.array_sort(F.collect_list(F.when(F.col("depth") == F.size("path") - 1, F.col("conv_id")))).alias("conv_ids"))
-    first = nodes.join(turns.drop("h"), ["conv_id", "depth"])
+    first = nodes.join(turns.drop("h", "g"), ["conv_id", "depth"])
     nodes = cut(first.join(paths, "conv_id").withColumn("path", F.slice("path", F.lit(1), F.col("depth") + 1)).withColumn("size", F.size("tokens").cast("long")), "nodes")
     subtree = nodes.select(F.explode("path").alias("node"), "size").groupBy("node").agg(F.sum("size").alias("subtree"))
     light = nodes.select("node", "conv_id", "depth", "size", F.when(F.col("depth") > 0, F.element_at("path", -2)).alias("parent"))
     parents = light.select(F.col("node").alias("parent"), F.col("size").alias("of_parent"))
     child = light.filter("parent is not null").join(subtree, "node").join(parents, "parent")
-    earlier = F.coalesce(F.sum("subtree").over(W.partitionBy("parent").orderBy("conv_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = child.select("node", "size", (F.col("of_parent") + earlier).alias("offset")).union(light.filter("parent is null").select("node", "size", F.lit(0).cast("long").alias("offset")))
+    offsets = _before(child).select("node", "size", (F.col("of_parent") + F.col("earlier")).alias("offset")).union(light.filter("parent is null").select("node", "size", F.lit(0).cast("long").alias("offset")))
     offsets = cut(offsets, "offsets")
     steps = nodes.select(F.col("node").alias("at"), F.posexplode("path").alias("k", "node")).join(offsets, "node").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", "offset", "size"))).alias("steps"))
     placed = cut(steps.select(F.col("at").alias("node"), F.arrow_udf(_place, _PLACE)(F.col("steps")).alias("p")), "placed")

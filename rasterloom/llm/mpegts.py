@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -121,10 +122,10 @@ def stream_of(data: bytes, number: int, unit: int = 1500) -> bytes:
 # -- reading
 
 
-def _sections(packets: np.ndarray, start: np.ndarray, pusi: np.ndarray) -> Iterator[bytes]:
-    """Whole sections with a right CRC, from the packets of one PID."""
+def _sections(packets: np.ndarray, start: np.ndarray, pusi: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The current sections with a right CRC, from the packets of one PID, and the number of the packet that each ends in."""
     held = b""
-    for row, s, first in zip(packets, start, pusi):
+    for row, s, first, n in zip(packets, start, pusi, number.tolist()):
         piece = row[s:].tobytes()
         if first:
             if not piece:
@@ -132,12 +133,20 @@ def _sections(packets: np.ndarray, start: np.ndarray, pusi: np.ndarray) -> Itera
             pointer = piece[0]
             if held:
                 held += piece[1 : 1 + pointer]
-                yield from _whole(held)
+                yield from ((n, x) for x in _whole(held))
             held = piece[1 + pointer :]
         elif held:
             held += piece
-    if held:
-        yield from _whole(held)
+        rest = held
+        while len(rest) >= 3 and rest[0] != 0xFF and len(rest) >= 3 + ((rest[1] & 15) << 8 | rest[2]):
+            size = 3 + ((rest[1] & 15) << 8 | rest[2])
+            yield from ((n, x) for x in _whole(rest[:size]))
+            rest = rest[size:]
+        held = rest
+
+
+#: Ids of streams whose packets have no optional header: what follows the length is payload (map, padding, private 2, ECM, EMM, DSM-CC, H.222.1 type E, directory).
+_BARE = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
 
 
 def _whole(data: bytes) -> Iterator[bytes]:
@@ -145,7 +154,7 @@ def _whole(data: bytes) -> Iterator[bytes]:
         size = 3 + ((data[1] & 15) << 8 | data[2])
         if size > len(data):
             return
-        if size >= 12 and crc32_mpeg(data[:size]) == 0:
+        if size >= 12 and data[5] & 1 and crc32_mpeg(data[:size]) == 0:  # the bit says that it applies already
             yield data[:size]
         data = data[size:]
 
@@ -178,7 +187,7 @@ def _align(raw: bytes) -> np.ndarray:
 def parse(raw: bytes) -> list[dict]:
     """The elementary packets (PES) of all streams that the program tables list, in the order of their first transport packet.
 
-    A packet's counter must follow that of the PID's last packet with a payload; one that repeats the packet before is a duplicate and is dropped; a discontinuity flag excuses a jump. An elementary packet that a jump falls into, or that is shorter than it says, isn't complete; bytes after a jump still belong to it until the next one begins.
+    A packet's counter must follow that of the PID's last packet with a payload; one that repeats the packet before is a duplicate and is dropped; a discontinuity flag excuses a jump. The program map that applies to a packet is the last that came before it (the first one, too, for what came earlier): a later version may change a PID's stream type or end the stream. An elementary packet that a jump falls into, or that is shorter than it says, isn't complete; bytes after a jump still belong to it until the next one begins.
     """
     p = _align(raw)
     if not len(p):
@@ -196,22 +205,27 @@ def parse(raw: bytes) -> list[dict]:
 
     programs: dict[int, int] = {}
     sel = np.flatnonzero((pid == 0) & load)
-    for s in _sections(p[sel], start[sel], pusi[sel]):
+    for _, s in _sections(p[sel], start[sel], pusi[sel], number[sel]):
         if s[0] == 0:
             for i in range(8, len(s) - 4, 4):
                 if number_ := s[i] << 8 | s[i + 1]:
                     programs[(s[i + 2] & 31) << 8 | s[i + 3]] = number_
-    streams: dict[int, tuple[int, int]] = {}
+    maps: dict[int, list[tuple[int, dict[int, int]]]] = {}  # program: (first packet it applies to, kinds of its streams)
+    streams: dict[int, int] = {}
     for pmt, program in programs.items():
         sel = np.flatnonzero((pid == pmt) & load)
-        for s in _sections(p[sel], start[sel], pusi[sel]):
-            if s[0] == 2:
-                i = 12 + ((s[10] & 15) << 8 | s[11])
+        for at, s in _sections(p[sel], start[sel], pusi[sel], number[sel]):
+            if s[0] == 2 and s[3] << 8 | s[4] == program:
+                i, kinds = 12 + ((s[10] & 15) << 8 | s[11]), {}
                 while i + 5 <= len(s) - 4:
-                    streams[(s[i + 1] & 31) << 8 | s[i + 2]] = (program, s[i])
+                    kinds[(s[i + 1] & 31) << 8 | s[i + 2]] = s[i]
                     i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
+                known = maps.setdefault(program, [])
+                known.append((at if known else 0, kinds))
+                streams |= dict.fromkeys(kinds, program)
     out = []
-    for es, (program, kind) in streams.items():
+    for es, program in streams.items():
+        since = [at for at, _ in maps[program]]
         sel = np.flatnonzero((pid == es) & load)
         if not len(sel):
             continue
@@ -227,12 +241,14 @@ def parse(raw: bytes) -> list[dict]:
             rows = sel[i:j]
             data = b"".join(p[r, start[r] :].tobytes() for r in rows)
             jumps = int(jump[i + 1 : j].sum()) + (int(jump[j]) if j < len(sel) else 0)
-            if len(data) < 9 or data[:3] != b"\0\0\1":
+            bare = len(data) > 3 and data[3] in _BARE
+            kind = maps[program][bisect_right(since, int(number[rows[0]])) - 1][1].get(es)
+            if kind is None or len(data) < (6 if bare else 9) or data[:3] != b"\0\0\1":
                 continue
             said = data[4] << 8 | data[5]
             pts = dts = None
-            body = 9 + data[8]
-            if data[7] & 0x80 and len(data) >= 14:
+            body = 6 if bare else 9 + data[8]
+            if not bare and data[7] & 0x80 and len(data) >= 14:
                 pts = dts = _read_stamp(data[9:14])
                 if data[7] & 0x40 and len(data) >= 19:
                     dts = _read_stamp(data[14:19])
@@ -258,7 +274,7 @@ def transport_stream(data: Column, number: Column) -> Column:
 def elementary_packets(media: DataFrame, key: str, column: str, rows: int = 256) -> DataFrame:
     """One row for each elementary packet of the transport streams in a binary column: the key, seq (order of first transport packets in the row's stream), program, pid, stream_type, packet (index of the first transport packet), pts and dts (90 kHz), random_access, jumps (of the continuity counter), complete, size, crc32 and payload.
 
-    Cases: null or empty streams, or ones without packets or program tables: no rows. Bytes before, between and after packets are skipped; a table with a wrong CRC is ignored. Long streams are parsed whole. Repeated rows and null keys are parsed like any other. Empty table: empty result; other columns are ignored.
+    Cases: null or empty streams, or ones without packets or program tables: no rows. Bytes before, between and after packets are skipped; a table with a wrong CRC, or that isn't current yet, is ignored. Streams whose ids have no optional header (private 2, padding and the like) are all payload, without time stamps. Long streams are parsed whole. Repeated rows and null keys are parsed like any other. Empty table: empty result; other columns are ignored.
     """
     ensure_importable(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.text import runs, slices, utf8
-from rasterloom.session import ensure_importable
+from rasterloom.session import ensure_importable, unused
 
 #: Characters of a candidate, least length, window, and for each class the bits from which a window is a finding.
 LEAST, WINDOW = 20, 20
@@ -181,12 +181,13 @@ def masked(text: Column, mask: str = MASK, **parameters) -> Column:
 
 
 def redact(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with the secrets in text masked and n_chars, where there is such a column, counted again for texts that changed; all rows and columns stay. Cases as in scan()."""
+    """docs with the secrets in text masked and n_chars, where there is such a column, counted again for texts that changed; all rows and columns stay, whatever the columns' names. Cases as in scan()."""
     ensure_importable(docs.sparkSession)
-    clean = docs.withColumn("text", masked(F.col("text"), **parameters)) if "n_chars" not in docs.columns else docs.withColumn("__old", F.length("text")).withColumn("text", masked(F.col("text"), **parameters))
+    old = unused(docs, "old")
+    clean = docs.withColumn(old, F.length("text")).withColumn("text", masked(F.col("text"), **parameters))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.length("text") == F.col("__old"), F.col("n_chars")).otherwise(F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))).drop("__old")
+        changed = F.length("text") != F.col(old)  # null for a null text
+        clean = clean.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*[f"`{c}`" for c in docs.columns])
 
 
