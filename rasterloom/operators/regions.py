@@ -33,19 +33,31 @@ class Forest:
         return min(a, b)
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes is joined to by edges (a, b): in every round the larger root of each edge hangs on the smaller one, and all paths are cut short."""
+    up = np.arange(n)
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return up
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+
+
 def label(classes: np.ndarray, void: int = -1) -> np.ndarray:
-    """Labels of the 4-connected components of equal class, dense and in raster order; -1 for void. Works on runs: each row's are found at once, and only runs that touch in neighbouring rows are joined one by one."""
+    """Labels of the 4-connected components of equal class, dense and in raster order; -1 for void. Works on runs: each row's are found at once, and runs that touch in neighbouring rows are joined."""
     h, w = classes.shape
     start = np.ones((h, w), bool)
     start[:, 1:] = classes[:, 1:] != classes[:, :-1]
     run = np.cumsum(start.ravel()).reshape(h, w) - 1
-    f = Forest(int(run.max()) + 1 if run.size else 0)
     same = classes[1:] == classes[:-1]
-    if same.any():
-        touching = np.unique(np.stack([run[:-1][same], run[1:][same]], 1), axis=0)
-        for a, b in touching.tolist():
-            f.join(a, b)
-    root = np.array([f.find(i) for i in range(len(f.up))])[run] if run.size else run
+    up, down = run[:-1][same], run[1:][same]
+    new = np.ones(len(up), bool)
+    new[1:] = (up[1:] != up[:-1]) | (down[1:] != down[:-1])
+    root = roots(int(run.max()) + 1, up[new], down[new])[run] if run.size else run
     ok = classes != void
     out = np.full((h, w), -1, np.int64)
     if ok.any():
@@ -218,8 +230,42 @@ def _oklab(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lms @ np.array([[0.2104542553, 0.793617785, -0.0040720468], [1.9779984951, -2.428592205, 0.4505937099], [0.0259040371, 0.7827717662, -0.808675766]]).T
 
 
+def without_runts(roots: np.ndarray, u: np.ndarray, v: np.ndarray, least: int, share: float = 0.67) -> np.ndarray:
+    """Regions smaller than `least` joined to the neighbour that has `share` or more of their border (counted in graph edges; of equal ones the first met), in the order in which the edges (u, v) meet them. One between two regions stays: it tells where their edge runs."""
+    a, b = roots[u], roots[v]
+    size = np.bincount(roots, minlength=len(roots))
+    apart = np.flatnonzero(a != b)
+    pairs = np.stack([np.stack([a[apart], b[apart]], 1), np.stack([b[apart], a[apart]], 1)], 1).reshape(-1, 2)
+    pairs = pairs[size[pairs[:, 0]] < least]
+    borders: dict[int, dict[int, int]] = {}
+    for runt, other in pairs.tolist():
+        own = borders.setdefault(runt, {})
+        own[other] = own.get(other, 0) + 1
+    up, size = {}, size.tolist()
+
+    def find(i: int) -> int:
+        while i in up:
+            i = up[i]
+        return i
+
+    for runt, near in borders.items():
+        if runt in up or size[runt] >= least:
+            continue
+        best = max(near, key=near.__getitem__)
+        if near[best] < share * sum(near.values()):
+            continue
+        to = find(best)
+        if to != runt:
+            up[runt] = to
+            size[to] += size[runt]
+    moved = np.arange(len(roots))
+    for i in up:
+        moved[i] = find(i)
+    return moved[roots]
+
+
 def segmented(rgba: tuple[np.ndarray, ...], k: float = 300.0, min_region: int = 0) -> np.ndarray:
-    """Segments of an image on its 8-connected pixel graph, weighted by distance in Oklab and alpha (times 255), dense in raster order; regions below min_region join their nearest neighbour in weight order."""
+    """Segments of an image on its 8-connected pixel graph, weighted by distance in Oklab and alpha (times 255), dense in raster order; of the regions below min_region those inside one other region join it (without_runts)."""
     r, g, b, a = rgba
     h, w = r.shape
     f = np.concatenate([_oklab(r, g, b), a[..., None] / 255.0], -1) * 255.0
@@ -233,16 +279,8 @@ def segmented(rgba: tuple[np.ndarray, ...], k: float = 300.0, min_region: int =
         ws.append(np.sqrt(((f[p] - f[q]) ** 2).sum(-1)).ravel())
     u, v, wt = map(np.concatenate, (us, vs, ws))
     roots = kruskal(h * w, u, v, wt, np.ones(h * w), k)
-    if min_region > 1:
-        fo = Forest(h * w)
-        fo.up = roots.tolist()
-        size = np.bincount(roots, minlength=h * w).tolist()
-        for i in np.argsort(wt, kind="stable").tolist():
-            x, y = fo.find(int(u[i])), fo.find(int(v[i]))
-            if x != y and min(size[x], size[y]) < min_region:
-                s = size[x] + size[y]
-                size[fo.join(x, y)] = s
-        roots = np.array([fo.find(i) for i in range(h * w)])
+    if min_region > 0:
+        roots = without_runts(roots, u, v, min_region)
     values, first, inverse = np.unique(roots, return_index=True, return_inverse=True)
     rank = np.empty(len(values), np.int64)
     rank[np.argsort(first)] = np.arange(len(values))
