@@ -200,3 +200,53 @@ def gcode(lines: DataFrame, by: str, height: int, feed: int = 1000, power: int =
 def rounded3(v: Column) -> Column:
     s = F.format_string("%.3f", v.cast("double"))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", ""), "^-0$", "0")
+
+
+#: Media types of images that a document may take in, by extension.
+IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml"}
+_HREF = r"""(?i)\b((?:xlink:)?href)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
+def resolved(path: Column) -> Column:
+    """An absolute path with '.' and '..' worked out; '..' at the root stays there."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.array().cast("array<string>")))
+    return F.concat(F.lit("/"), F.array_join(up, "/"))
+
+
+def inline_images(documents: DataFrame, files: DataFrame, ident: str = "id") -> DataFrame:
+    """ident, text, inlined (paths), refused (references) of documents (ident, svg, base_dir): <image> references to files (path, content) as data URIs.
+
+    Data URIs, fragments and other schemes than file: stay, as do references without an image's extension or without a file. References are untrusted: one that leaves base_dir is refused and never joined. Documents without a reference stay as they are.
+    """
+    from rasterloom.functions.scalar import is_inside
+
+    tags = documents.select(ident, "base_dir", F.explode(F.array_distinct(F.regexp_extract_all("svg", F.lit(r"(?i)(<image\b[^>]*>)"), F.lit(1)))).alias("tag"))
+    href = F.trim(F.coalesce(F.nullif(F.regexp_extract("tag", _HREF, 2), F.lit("")), F.regexp_extract("tag", _HREF, 3)))
+    t = tags.withColumns({"attr": F.regexp_extract("tag", _HREF, 1), "href": href}).filter("href != ''")
+    t = t.filter(~F.col("href").rlike("(?i)^(?:data:|#)") & (~F.col("href").rlike("(?i)^[a-z][a-z0-9+.-]*:") | F.col("href").rlike("(?i)^file:")))
+    local = F.coalesce(F.try_url_decode(F.replace(F.regexp_replace("href", r"(?i)^file:(?://[^/]*)?", ""), F.lit("+"), F.lit("%2B"))), F.col("href"))
+    t = t.withColumn("rel", local).withColumn("path", resolved(F.when(F.col("rel").startswith("/"), F.col("rel")).otherwise(F.concat("base_dir", F.lit("/"), "rel"))))
+    kinds = F.create_map(*[F.lit(x) for kv in IMAGE_TYPES.items() for x in kv])
+    t = t.withColumn("mime", F.element_at(kinds, F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))).filter("mime is not null")
+    t = t.withColumn("inside", is_inside(resolved(F.col("base_dir")), F.col("path")))
+    found = t.join(files.select("path", F.col("content").alias("bytes")), (t["path"] == files["path"]) & t["inside"], "left").drop(files["path"])
+    uri = F.concat(F.lit("data:"), "mime", F.lit(";base64,"), F.regexp_replace(F.base64("bytes"), r"\s", ""))
+    new = F.replace("tag", F.regexp_extract("tag", _HREF, 0), F.concat("attr", F.lit('="'), uri, F.lit('"')))
+    g = found.withColumn("new", F.when(F.col("bytes").isNotNull(), new)).groupBy(ident).agg(
+        F.sort_array(F.collect_list(F.when(F.col("new").isNotNull(), F.struct("tag", "new")))).alias("swaps"),
+        F.sort_array(F.collect_set(F.when(F.col("new").isNotNull(), F.col("path")))).alias("inlined"),
+        F.sort_array(F.collect_set(F.when(~F.col("inside"), F.col("href")))).alias("refused"),
+    )
+    out = documents.select(ident, "svg").join(g, ident, "left")
+    none = F.array().cast("array<string>")
+    text = F.coalesce(F.aggregate("swaps", F.col("svg"), lambda s, x: F.replace(s, x["tag"], x["new"])), F.col("svg"))
+    return out.select(ident, text.alias("text"), F.coalesce("inlined", none).alias("inlined"), F.coalesce("refused", none).alias("refused"))
+
+
+def pdf_page_count(content: Column) -> Column:
+    """Pages of a PDF: its page objects, or, where they lie in compressed streams, the largest /Count of a page tree that doesn't; null if there is neither or it is no PDF."""
+    text = F.decode(content, "ISO-8859-1")
+    pages = F.regexp_count(text, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    counts = F.transform(F.regexp_extract_all(text, F.lit(r"/Type\s*/Pages\b[^>]*?/Count\s+(\d+)|/Count\s+(\d+)[^>]*?/Type\s*/Pages\b"), F.lit(0)), lambda s: F.regexp_extract(s, r"/Count\s+(\d+)", 1).cast("int"))
+    return F.when(is_pdf(content), F.when(pages > 0, pages).otherwise(F.array_max(counts)))

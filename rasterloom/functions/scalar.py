@@ -53,7 +53,7 @@ def byte_size(text: Column) -> Column:
 
 
 def page_indices(spec: Column, most: int = 100_000) -> Column:
-    """'1,3-5' as zero-based indices in the order given; parts that are no range are left out."""
+    """'1,3-5' as zero-based indices in the order given; parts that are no range are left out, and so is what comes after the first `most` pages (a guard against '1-999999999')."""
     parts = F.filter(F.transform(F.split(spec, ","), lambda s: F.trim(s)), lambda s: s.rlike(r"^\d{1,9}(-\d{1,9})?$"))
 
     def pages(s: Column) -> Column:
@@ -128,6 +128,30 @@ def is_loopback(host: Column) -> Column:
     return F.coalesce(name.isin("localhost", "127.0.0.1", "::1"), F.lit(False))
 
 
+def is_allowed_origin(origin: Column, allowed: tuple[str, ...] = ()) -> Column:
+    """Whether a request may be served: without an origin (no browser sent it), or from one that is named; being local isn't enough."""
+    named = origin.isin(*allowed) if allowed else F.lit(False)
+    return F.coalesce(origin == "", F.lit(True)) | F.coalesce(named, F.lit(False))
+
+
+def memory_refusal(projected: Column, limit: Column, used: Column) -> Column:
+    """Why a job that needs so many bytes is refused: null where the limit leaves them free, or is unknown (not positive)."""
+    free = limit - used
+    mb = lambda v: F.format_number(half_up(v / 1048576.0), 0)
+    text = F.concat(F.lit("outlines need about "), mb(projected), F.lit(" MB, but only "), mb(free), F.lit(" MB of "), mb(limit), F.lit(" MB are free"))
+    return F.when((limit > 0) & (projected > free), text)
+
+
+def outline_bytes(edges: Column) -> Column:
+    """What tracing so many boundary edges is expected to take: 72 bytes each."""
+    return edges.cast("long") * 72
+
+
+def office_arguments(path: Column, kind: Column, folder: Column) -> Column:
+    """The arguments with which a headless office program converts a file."""
+    return F.array(F.lit("--headless"), F.lit("--norestore"), F.lit("--convert-to"), kind, F.lit("--outdir"), folder, path)
+
+
 def normal_delay(delay: Column, first: Column) -> Column:
     """A frame's delay: its own, else the animation's first, else 100 ms; what isn't positive is 100."""
     d = F.coalesce(delay, first, F.lit(100))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 
@@ -123,6 +124,39 @@ def rotate(px: DataFrame, quarter_turns: int) -> DataFrame:
     return px
 
 
+def turned(px: DataFrame, degrees: float, background: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
+    """Clockwise by any angle, bilinear, on a canvas that holds the whole image; quarter turns are exact. Colours are weighted by alpha; beyond the border there is background."""
+    if degrees % 90 == 0:
+        return rotate(px, int(degrees // 90))
+    t = math.radians(degrees)
+    c, s = math.cos(t), math.sin(t)
+    return transformed(px, (c, -s, s, c), background)
+
+
+def transformed(px: DataFrame, m: tuple[float, float, float, float], background: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
+    """An image under a 2x2 matrix, bilinear, on the smallest canvas that holds it. Every target pixel takes the four source pixels around where it comes from: a join, with the work of four rows a pixel."""
+    a, b, c, d = m
+    det = a * d - b * c
+    size = px.groupBy("img_id").agg(F.max("width").alias("sw"), F.max("height").alias("sh"))
+    n = [_i(F.greatest(F.lit(1), F.ceil(F.round(abs(p) * F.col("sw") + abs(q) * F.col("sh"), 9)))) for p, q in ((a, b), (c, d))]
+    size = size.withColumns({"width": n[0], "height": n[1]})
+    grid = size.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    u, v = X() - (W_() - 1) / 2.0, Y() - (H_() - 1) / 2.0
+    sx = F.round((d * u - b * v) / det + (F.col("sw") - 1) / 2.0, 9)
+    sy = F.round((-c * u + a * v) / det + (F.col("sh") - 1) / 2.0, 9)
+    at = grid.withColumns({"fx": sx, "fy": sy}).withColumns({"x0": _i(F.floor("fx")), "y0": _i(F.floor("fy"))})
+    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)])
+    w = lambda f, k, i: F.when(i == 0, 1 - (F.col(f) - F.col(k))).otherwise(F.col(f) - F.col(k))
+    e = at.select("*", F.explode(taps).alias("t")).withColumns({"w": w("fx", "x0", F.col("t.i")) * w("fy", "y0", F.col("t.j")), "qx": F.col("x0") + F.col("t.i"), "qy": F.col("y0") + F.col("t.j")})
+    src = px.select("img_id", F.col("x").alias("qx"), F.col("y").alias("qy"), *[F.col(k).alias(f"s_{k}") for k in RGBA])
+    full = {k: F.coalesce(f"s_{k}", F.lit(g)) for k, g in zip(RGBA, background)}
+    g = e.join(src, ["img_id", "qx", "qy"], "left").withColumns({f"s_{k}": v for k, v in full.items()})
+    sums = [F.sum(F.col("w") * F.col(f"s_{k}") * F.col("s_a")).alias(f"m_{k}") for k in RGB] + [F.sum(F.col("w") * F.col("s_a")).alias("m_a")]
+    out = g.groupBy("img_id", "width", "height", "x", "y").agg(*sums)
+    new = {k: F.when(F.col("m_a") > 0, _i(clamp(half_up(F.round(F.col(f"m_{k}") / F.col("m_a"), 6)), 0, 255))).otherwise(0) for k in RGB} | {"a": _i(clamp(half_up(F.round("m_a", 6)), 0, 255))}
+    return out.select("img_id", "width", "height", "x", "y", *[v.alias(k) for k, v in new.items()])
+
+
 def flip(px: DataFrame) -> DataFrame:
     """Top to bottom."""
     return px.withColumn("y", _i(H_() - 1 - Y()))
@@ -305,10 +339,37 @@ BLENDS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def composite(px: DataFrame, overlay: DataFrame, blend: str = "over", left: int = 0, top: int = 0) -> DataFrame:
-    """The overlay's pixels (of the same img_id, or of all images if it has none) blended over px, by the compositing rules for straight alpha."""
+#: Where an overlay is anchored: shares of the free width and height.
+GRAVITY = {"north": (0.5, 0), "northeast": (1, 0), "east": (1, 0.5), "southeast": (1, 1), "south": (0.5, 1), "southwest": (0, 1), "west": (0, 0.5), "northwest": (0, 0), "centre": (0.5, 0.5), "center": (0.5, 0.5)}
+
+
+def placed(px: DataFrame, overlay: DataFrame, left: int | None, top: int | None, gravity: str, tile: bool) -> DataFrame:
+    """The overlay's pixels (width and height are its own) at their place on each image of px: at left and top, else by gravity; tiled, it repeats from there in all directions until the image is full."""
+    own = ["img_id"] if "img_id" in overlay.columns else []
+    size = px.groupBy("img_id").agg(F.max("width").alias("bw"), F.max("height").alias("bh"))
+    o = overlay.select(*own, F.col("width").alias("ow"), F.col("height").alias("oh"), "x", "y", *[F.col(c).alias(f"o_{c}") for c in RGBA])
+    o = o.join(size, own) if own else o.crossJoin(size)  # without img_id the one overlay goes to every image, which is what composite() gives back
+    sx, sy = GRAVITY[gravity]
+    dx = F.lit(left) if left is not None else _i(F.floor((F.col("bw") - F.col("ow")) * sx))
+    dy = F.lit(top) if top is not None else _i(F.floor((F.col("bh") - F.col("oh")) * sy))
+    at = o.withColumns({"x": X() + dx, "y": Y() + dy})
+    if tile:
+        for pos, step, most in (("x", "ow", "bw"), ("y", "oh", "bh")):
+            first = F.pmod(F.col(pos), F.col(step))
+            at = at.filter(first < F.col(most)).withColumn(pos, F.explode(F.sequence(first, F.col(most) - 1, F.col(step))))
+    return at.select("img_id", _i(X()).alias("x"), _i(Y()).alias("y"), *[f"o_{c}" for c in RGBA])
+
+
+def composite(px: DataFrame, overlay: DataFrame, blend: str = "over", left: int | None = None, top: int | None = None, gravity: str | None = None, tile: bool = False) -> DataFrame:
+    """The overlay's pixels (of the same img_id, or of all images if it has none) blended over px, by the compositing rules for straight alpha: a mode of BLENDS, or dest-over (below what is there) or xor (where only one is). Anchored at left and top (the origin without gravity), else by GRAVITY; a tiled overlay repeats over the whole image."""
     keys = (["img_id"] if "img_id" in overlay.columns else []) + ["x", "y"]
-    o = overlay.withColumns({"x": X() + left, "y": Y() + top}).select(*keys, *[F.col(c).alias(f"o_{c}") for c in RGBA])
+    if gravity or tile:
+        keys = ["img_id", "x", "y"]
+        o = placed(px, overlay, left, top, gravity or "northwest", tile)
+    else:
+        o = overlay.withColumns({"x": X() + (left or 0), "y": Y() + (top or 0)}).select(*keys, *[F.col(c).alias(f"o_{c}") for c in RGBA])
+    if blend in ("dest-over", "xor"):
+        return _porter_duff(px.join(o, keys, "left"), blend)
     p = px.join(o, keys, "left")
     sa, ba = F.coalesce(F.col("o_a"), F.lit(0)) / 255.0, F.col("a") / 255.0
     ra = sa + ba * (1 - sa)
@@ -323,6 +384,17 @@ def composite(px: DataFrame, overlay: DataFrame, blend: str = "over", left: int
     return p.withColumns(new).drop(*[f"o_{c}" for c in RGBA])
 
 
+def _porter_duff(p: DataFrame, blend: str) -> DataFrame:
+    """The two modes that take the sides by coverage alone (Porter and Duff, 1984)."""
+    sa, ba = F.coalesce(F.col("o_a"), F.lit(0)) / 255.0, F.col("a") / 255.0
+    ws, wb = (sa * (1 - ba), ba) if blend == "dest-over" else (sa * (1 - ba), ba * (1 - sa))
+    p = p.withColumns({"__ws": ws, "__wb": wb})
+    total = F.col("__ws") + F.col("__wb")
+    mixed = lambda c: F.when(total > 0, _i(clamp(half_up(F.round((F.coalesce(F.col(f"o_{c}"), F.lit(0)) * F.col("__ws") + F.col(c) * F.col("__wb")) / total, 9)), 0, 255))).otherwise(0)
+    new = {c: F.when(F.col("o_a").isNull(), F.col(c)).otherwise(mixed(c)) for c in RGB} | {"a": F.when(F.col("o_a").isNull(), F.col("a")).otherwise(_i(half_up(F.round(total * 255, 9))))}
+    return p.withColumns(new).drop(*[f"o_{c}" for c in RGBA], "__ws", "__wb")
+
+
 def unflatten(px: DataFrame) -> DataFrame:
     """Pure white becomes transparent."""
     white = (F.col("r") == 255) & (F.col("g") == 255) & (F.col("b") == 255)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -301,6 +302,44 @@ def path_text(segments: list[tuple], precision: int = 2) -> str:
     return "".join(s[0] + " ".join(number(v, precision) for v in s[1:]) for s in segments) + ("Z" if segments else "")
 
 
+def compact_path(subpaths: list[list[tuple]], precision: int = 2) -> str:
+    """Path data of closed subpaths ([('M', x, y), ('L', x, y), ('Q', ...), ('C', ...)]), as short as it gets: relative to the rounded point before, h and v for axis-parallel lines, no repeated letters or needless separators, no last line back to the start. Rounding errors don't add up, as each difference is taken from where the pen really is."""
+    out, last = "", ""
+    f = 10.0**precision
+    snap = lambda v: math.floor(v * f + 0.5) / f
+    pen = (0.0, 0.0)
+
+    def put(letter: str, values: list[float]) -> None:
+        nonlocal out, last
+        if letter != last or letter in "Mmz":
+            out += letter
+        for v in values:
+            s = number(v, precision)
+            tail = re.search(r"[\d.]*$", out)[0]
+            if tail and not s.startswith("-") and not (s.startswith(".") and "." in tail):
+                out += " "
+            out += s
+        last = letter
+
+    for sub in subpaths:
+        to = (snap(sub[0][1]), snap(sub[0][2]))
+        put("M", list(to)) if not out else put("m", [to[0] - pen[0], to[1] - pen[1]])
+        pen = start = to
+        for k, (kind, *v) in enumerate(sub[1:], 1):
+            q = [snap(x) for x in v]
+            d = [x - pen[i % 2] for i, x in enumerate(q)]
+            if kind == "L":
+                back = k == len(sub) - 1 and (q[0], q[1]) == start
+                if not back and (round(d[0], 9) or round(d[1], 9)):
+                    put("h", d[:1]) if not round(d[1], 9) else put("v", d[1:]) if not round(d[0], 9) else put("l", d)
+            else:
+                put(kind.lower(), d)
+            pen = (q[-2], q[-1])
+        put("z", [])
+        pen = start
+    return out
+
+
 def number(v: float, precision: int) -> str:
     """Rounded, without an exponent, trailing zeros or the zero before the point."""
     s = f"{math.floor(v * 10**precision + 0.5) / 10**precision:.{precision}f}"

@@ -224,4 +224,13 @@ def dominant_of_box(h: DataFrame) -> DataFrame:
     return h.groupBy("img_id", "box").agg(m.alias("m")).select("img_id", "box", "m.*")
 
 
-__all__ = ["alpha_levels", "bins", "clamp", "collapse_fringe", "css_variables", "dominant_of_box", "fringe_levels", "levels_of", "linear_to_srgb", "lloyd", "lloyd_step", "nearest", "nearest_level", "oklab_to_srgb", "palette_of", "palette_weights", "quantize", "wu_boxes"]
+def median_of_box(h: DataFrame) -> DataFrame:
+    """img_id, box, r, g, b: for each channel the weighted median of the means of the box's bins: the first at which half of the pixels are reached."""
+    mean = {c: F.col(f"s{c}") / F.col("n") for c in "rgb"}
+    box = W.partitionBy("img_id", "box")
+    reached = {f"u{c}": F.sum("n").over(box.orderBy(f"m{c}")) for c in "rgb"}
+    p = h.withColumns({f"m{c}": v for c, v in mean.items()}).withColumns(reached | {"half": F.sum("n").over(box) / 2})
+    return p.groupBy("img_id", "box").agg(*[half_up(F.min(F.when(F.col(f"u{c}") >= F.col("half"), F.col(f"m{c}")))).cast("int").alias(c) for c in "rgb"])
+
+
+__all__ = ["alpha_levels", "bins", "clamp", "collapse_fringe", "css_variables", "dominant_of_box", "fringe_levels", "levels_of", "linear_to_srgb", "lloyd", "lloyd_step", "median_of_box", "nearest", "nearest_level", "oklab_to_srgb", "palette_of", "palette_weights", "quantize", "wu_boxes"]

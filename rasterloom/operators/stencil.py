@@ -144,6 +144,11 @@ def bilateral(px: DataFrame, radius: int = 4, sigma_space: float = 1.8, sigma_ra
     return out.withColumns({c: F.coalesce(f"m_{c}", c) for c in ch}).drop(*[f"m_{c}" for c in ch])
 
 
+def refine_source(px: DataFrame, radius: int = 12, label: str = "class", **smoothing: float) -> DataFrame:
+    """The image that sub-pixel measuring reads: bilateral() within boundary_band() of the labels, untouched elsewhere."""
+    return bilateral(boundary_band(px, radius, label), **smoothing)
+
+
 def sobel(px: DataFrame, luma: Column, extra: Column | None = None) -> DataFrame:
     """importance: the Sobel gradient of luma over 4 (borders clamped), plus extra."""
     p = px.withColumn("lum", luma.cast("double"))

@@ -7,16 +7,25 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators.geometry import contours, detect_primitive, fit_loop, number, path_text
+from rasterloom.operators.geometry import compact_path, contours, detect_primitive, fit_loop, number, path_text
 from rasterloom.operators.images import Planes, per_image
+from rasterloom.operators.outline import dense, face_curves, refined
 from rasterloom.operators.quantize import palette_of
 from rasterloom.operators.regions import _oklab, despeckled, label
+from rasterloom.operators.whole import noise_of
 
 RGBA = dict.fromkeys("rgba", 0)
 MAX_RECTS, MAX_REGIONS, PER_PIXEL, REFUSE_FROM = 4_000_000, 200_000, 0.5, 250_000
+#: Interior noise up to which outlines may be refined.
+NOISE_LIMIT = 0.3
+
+
+class TooMuch(ValueError):
+    """Exact geometry of this image would take too many shapes."""
 
 
 def keys_of(p: Planes) -> np.ndarray:
@@ -48,7 +57,7 @@ def mesh(keys: np.ndarray, void: int = 0, budget: int = MAX_RECTS) -> list[tuple
             free[y : y + m, x : x + n] = False
             out.append((x, y, n, m, int(keys[y, x])))
             if len(out) > budget:
-                raise ValueError(f"more than {budget} rectangles: a photograph is no case for exact geometry")
+                raise TooMuch(f"more than {budget} rectangles: a photograph is no case for exact geometry")
             x += n
     return out
 
@@ -83,6 +92,7 @@ class Options:
     primitives: bool = True
     primitive_error: float = 1.0
     policy: str = "left"
+    subpixel: bool | None = False  # refine outlines below the pixel; None: where the interior is quiet enough
     palette: tuple[tuple[int, int, int], ...] = field(default=())
 
 
@@ -134,7 +144,7 @@ def by_contours(p: Planes) -> tuple[str, int]:
     h, w = k.shape
     lab = label(k, 0)
     if lab.max() + 1 > MAX_REGIONS:
-        raise ValueError(f"more than {MAX_REGIONS} regions: a photograph is no case for exact geometry")
+        raise TooMuch(f"more than {MAX_REGIONS} regions: a photograph is no case for exact geometry")
     loops: dict[int, list[str]] = {}
     key_of = {int(c): int(v) for c, v in zip(lab[lab >= 0], k[lab >= 0])}
     values, counts = np.unique(k[k != 0], return_counts=True)
@@ -190,6 +200,7 @@ def traced(p: Planes, o: Options) -> tuple[str, dict]:
     shapes: dict[int, list[str]] = {}
     ls = contours(lab, o.policy)
     holes = {c for c, _, a in ls if a < 0}
+    px = _stacked(p) if _refines(p, o) else None
     nodes = 0
     for c, pts, _ in ls:
         k = owner[c]
@@ -198,7 +209,8 @@ def traced(p: Planes, o: Options) -> tuple[str, dict]:
             nodes += 4
             shapes.setdefault(k, []).append(primitive_text(prim, o.precision))
             continue
-        seg = fit_loop(pts, o.tolerance, o.fit_error, o.corner)
+        q = pts if px is None else refined(dense(pts), px, cls, k)[0]
+        seg = fit_loop(q, o.tolerance, o.fit_error, o.corner)
         nodes += len(seg)
         if seg:
             paths.setdefault(k, []).append(path_text(seg, o.precision))
@@ -215,6 +227,29 @@ def traced(p: Planes, o: Options) -> tuple[str, dict]:
     return _document(w, h, body, False), {"shapes": len(body), "colours": int((area > 0).sum()), "regions": regions, "despeckled": merged, "nodes": nodes}
 
 
+def _stacked(p: Planes) -> np.ndarray:
+    return np.stack([p[c] for c in "rgba"], -1)
+
+
+def _refines(p: Planes, o: Options) -> bool:
+    return noise_of(_stacked(p)) <= NOISE_LIMIT if o.subpixel is None else o.subpixel
+
+
+def mosaic(p: Planes, o: Options) -> tuple[str, int]:
+    """(document, paths) without gaps or overlaps: classes as in traced(), but every boundary is one curve that both of its sides use."""
+    h, w = p["r"].shape
+    cls, pal = classes_of(p, o)
+    cls, _ = despeckled(cls, o.min_area or max(2, min(16, math.floor(h * w / 50_000 + 0.5))))
+    lab = label(cls)
+    owner = {int(a): int(b) for a, b in zip(lab[lab >= 0], cls[lab >= 0])}
+    paths: dict[int, list[list[tuple]]] = {}
+    for comp, _, segments in face_curves(lab, o.tolerance, o.fit_error, o.corner, _stacked(p) if _refines(p, o) else None):
+        paths.setdefault(owner[comp], []).append(segments)
+    area = np.bincount(cls[cls >= 0], minlength=len(pal))
+    body = [f'<path fill-rule="evenodd" d="{compact_path(paths[k], o.precision)}"{_attrs(_key(pal[k]))}/>' for k in sorted(paths, key=lambda i: (-area[i], i))]
+    return _document(w, h, body, False), len(body)
+
+
 def _key(rgb: np.ndarray) -> int:
     r, g, b = (int(v) for v in rgb)
     return r << 24 | g << 16 | b << 8 | 255
@@ -237,20 +272,51 @@ def choose_mode(flat: DataFrame) -> DataFrame:
     return flat.withColumn("mode", F.when(exact, "pixel").otherwise("trace"))
 
 
-def refine_gate(noise: Column, limit: float = 0.3) -> Column:
+def refine_gate(noise: Column, limit: float = NOISE_LIMIT) -> Column:
     """Whether sub-pixel refinement may run: images with interior noise are better without."""
     return noise <= limit
 
 
-SCHEMA = "mode string, svg string, bytes int, shapes int"
+def auto_options(flat: DataFrame, limit: float = NOISE_LIMIT) -> DataFrame:
+    """img_id, colours, gradients, subpixel, lattice of tracing without a preset, from flatness(): 48 colours and gradients for photographs (the colour count hit its cap), 32 above 64 colours, else 16; outlines are neither refined nor straightened where the interior is noisy."""
+    colours = F.when(F.col("capped"), 48).when(F.col("colours") > 64, 32).otherwise(16)
+    clear = refine_gate(F.col("noise"), limit)
+    return flat.select("img_id", colours.alias("colours"), F.col("capped").alias("gradients"), clear.alias("subpixel"), clear.alias("lattice"))
+
+
+def dominated(traces: DataFrame, exact: DataFrame, sources: DataFrame, ratio: float = 4.0) -> DataFrame:
+    """img_id, switch, strategy: whether an exact copy replaces a trace (img_id, svg): where the trace has no curve, is larger than its source file (img_id, bytes), and is more than `ratio` times as large, gzipped, as an exact candidate (img_id, strategy, gzip_bytes, exact: lossless_candidates). The smallest such candidate is taken."""
+
+    @F.arrow_udf("int")
+    def zipped(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else len(gzip.compress(t.encode(), mtime=0)) for t in texts.to_pylist()], pa.int32())
+
+    drawn = F.regexp_extract_all("svg", F.lit(r'\sd="([^"]*)"'), F.lit(1))
+    t = traces.select("img_id", F.octet_length("svg").alias("size"), zipped(F.col("svg")).alias("zip"), F.exists(drawn, lambda d: d.rlike("[CcSsQqTtAa]")).alias("curves"))
+    t = t.join(sources.select("img_id", F.col("bytes").alias("source")), "img_id", "left")
+    c = exact.filter("exact").select("img_id", "strategy", "gzip_bytes")
+    better = t.join(c, "img_id").filter(~F.col("curves") & (F.col("size") > F.col("source")) & (F.col("gzip_bytes") * ratio < F.col("zip")))
+    best = better.groupBy("img_id").agg(F.min_by("strategy", F.struct("gzip_bytes", "strategy")).alias("strategy"))
+    return t.select("img_id").join(best, "img_id", "left").select("img_id", F.col("strategy").isNotNull().alias("switch"), "strategy")
+
+
+SCHEMA = "mode string, svg string, bytes int, shapes int, error string"
 
 
 def vectorize(px: DataFrame, mode: str = "auto", preset: str | None = None, options: Options | None = None) -> DataFrame:
-    """img_id, mode, svg, bytes, shapes: every image as a document. auto measures each image first; 'pixel' and 'exact' are lossless (exact takes the smaller of rectangles and contours), 'trace' approximates. A named preset means trace."""
+    """img_id, mode, svg, bytes, shapes, error: every image as a document (null, with an error, where exact geometry would take more shapes than MAX_RECTS or MAX_REGIONS). auto measures each image first; 'pixel' and 'exact' are lossless (exact takes the smaller of rectangles and contours), 'trace' approximates, and so does 'mosaic', whose neighbouring shapes share their curves. A named preset means trace."""
     o = options or PRESETS.get(preset or "", Options())
     if preset and preset not in PRESETS:
         raise ValueError(f"no preset {preset}")
 
+    def trace(p: Planes) -> tuple[str, int]:
+        svg, counts = traced(p, o)
+        return svg, counts["shapes"]
+
+    make = {"pixel": by_rectangles, "exact": lambda p: min((by_rectangles(p), by_contours(p)), key=lambda t: len(t[0])), "mosaic": lambda p: mosaic(p, o), "trace": trace}
+    if mode != "auto" and mode not in make:
+        raise ValueError(f"no mode {mode}")
+
     def run(w: int, h: int, p: Planes) -> dict:
         m = "trace" if preset and mode == "auto" else mode
         if m == "auto":
@@ -258,16 +324,11 @@ def vectorize(px: DataFrame, mode: str = "auto", preset: str | None = None, opti
             n = len(np.unique(k))
             runs = int((k[:, 1:] != k[:, :-1]).sum()) + h
             m = "pixel" if n <= 4096 and runs <= 600_000 and (runs / (w * h) <= 0.12 or n <= 64) else "trace"
-        if m == "pixel":
-            svg, shapes = by_rectangles(p)
-        elif m == "exact":
-            svg, shapes = min((by_rectangles(p), by_contours(p)), key=lambda t: len(t[0]))
-        elif m == "trace":
-            svg, s = traced(p, o)
-            shapes = s["shapes"]
-        else:
-            raise ValueError(f"no mode {m}")
-        return {"mode": [m], "svg": [svg], "bytes": [len(svg.encode())], "shapes": [shapes]}
+        try:
+            svg, shapes = make[m](p)
+        except TooMuch as e:
+            return {"mode": [m], "svg": [None], "bytes": [None], "shapes": [None], "error": [str(e)]}
+        return {"mode": [m], "svg": [svg], "bytes": [len(svg.encode())], "shapes": [shapes], "error": [None]}
 
     return per_image(px, run, SCHEMA, RGBA)
 
@@ -329,7 +390,10 @@ def lossless_candidates(px: DataFrame) -> DataFrame:
         k = keys_of(p)
         rows = []
         for name, make in (("rectangles", by_rectangles), ("contours", by_contours)):
-            svg, _ = make(p)
+            try:
+                svg, _ = make(p)
+            except TooMuch:  # the other candidates remain
+                continue
             rows.append((name, svg, bool((rendered(svg, w, h) == k).all())))
         png = encode_png(np.stack([p[c] for c in "rgba"], -1).astype(np.uint8))
         rows.append(("embed", f'<svg xmlns="http://www.w3.org/2000/svg"><image href="data:image/png;base64,{base64.b64encode(png).decode()}"/></svg>', True))

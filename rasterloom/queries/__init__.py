@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rasterloom.queries import colour, edits, metrics, misc, regions
+from rasterloom.queries import colour, edits, finishing, metrics, misc, regions, whole
 
-MODULES = (metrics, colour, edits, regions, misc)
+MODULES = (metrics, colour, edits, regions, misc, whole, finishing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
