@@ -13,17 +13,6 @@ from rasterloom.session import cut, ensure_importable
 
 #: Buckets, padded tokens of a batch, lanes over which the numbering of a bucket is spread.
 BUCKETS, BUDGET, LANES = 16, 65_536, 1024
-#: What rounded() is held to: exact up to EXACT, off by less than 1/STEP beyond. It rounds nothing.
-EXACT, STEP = 2048, 256
-
-
-def rounded(n: np.ndarray) -> np.ndarray:
-    """The length under which the histogram counts one of n tokens: n itself."""
-    return np.asarray(n, np.int64)
-
-
-def rounded_sql(n: str) -> Column:
-    return F.expr(f"CAST({n} AS BIGINT)")
 
 
 def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
@@ -34,14 +23,16 @@ def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]
     m = len(length)
     if m == 0:
         return []
-    L = np.concatenate(([0], length)).astype(np.float64)
-    N = np.concatenate(([0], np.cumsum(count))).astype(np.float64)
-    S = np.concatenate(([0], np.cumsum(length * count))).astype(np.float64)
+    whole = int(max(length)) * int(sum(count.tolist()))
+    kind = np.int64 if whole < 1 << 61 else object  # Python's integers for what 64 bits don't hold: no cost is rounded
+    L, count = np.concatenate(([0], length)).astype(kind), np.asarray(count).astype(kind)
+    N = np.concatenate(([0], np.cumsum(count))).astype(kind)
+    S = np.concatenate(([0], np.cumsum(L[1:] * count))).astype(kind)
     best = L * N - S
     best[0] = 0
     splits = []
     for _ in range(1, min(buckets, m)):
-        new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+        new, arg = np.full(m + 1, 2 * whole + 1).astype(kind), np.zeros(m + 1, np.int64)
         new[0] = 0
         lo, hi, a, b = (np.array([v]) for v in (1, m, 0, m - 1))
         while len(lo):
@@ -91,7 +82,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, lanes: i
     ensure_importable(docs.sparkSession)
     size = length if length is not None else token_length(F.col("text"), vocabulary)
     lens = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("n_tokens")), "lengths")
-    histogram = lens.groupBy(rounded_sql("n_tokens").alias("len")).agg(F.count("*").alias("n")).orderBy("len").toArrow()
+    histogram = lens.groupBy(F.col("n_tokens").alias("len")).agg(F.count("*").alias("n")).orderBy("len").toArrow()
     bounds = boundaries(histogram.column("len").to_numpy(), histogram.column("n").to_numpy(), buckets)
     case = F.lit(None).cast("int")
     upto = F.lit(None).cast("long")

@@ -739,12 +739,14 @@ def test_buckets_are_optimal(lengths, k, data):
     assert len(got) <= k and got[-1] == lengths[-1] and padding(got) == best
 
 
-def test_rounded_lengths(spark):
-    n = np.unique(np.concatenate([np.arange(0, 5000), np.random.default_rng(1).integers(5000, 10**7, 500)]))
-    r = packing.rounded(n)
-    assert (r >= n).all() and (r[n <= packing.EXACT] == n[n <= packing.EXACT]).all() and ((r - n) <= np.maximum(n / packing.STEP, 0)).all()
-    got = spark.createDataFrame([(int(x),) for x in n], "n_tokens long").select("n_tokens", packing.rounded_sql("n_tokens").alias("r")).collect()
-    assert [x["r"] for x in sorted(got)] == r.tolist()
+def test_costs_beyond_64_bits_are_exact():
+    lengths, counts = np.array([1, 2, 10**9, 10**9 + 1, 3 * 10**9]), np.array([10**12, 1, 10**10, 10**10, 1])
+    for k in (1, 2, 3, 4, 5):
+        want = min(itertools.combinations(lengths.tolist()[:-1], k - 1), key=lambda c: sum(int(n) * (min(b for b in (*c, int(lengths[-1])) if b >= v) - v) for v, n in zip(lengths.tolist(), counts.tolist())))
+        assert packing.boundaries(lengths, counts, k) == [*want, 3 * 10**9]
+    small, many = np.arange(1, 60) ** 2, np.arange(60, 1, -1)
+    bounds = packing.boundaries(small, many, 7)
+    assert packing.boundaries(small * 2**40, many * 2**20, 7) == [b * 2**40 for b in bounds], "the same in Python's integers"
 
 
 def test_bounds_of_long_lengths_are_optimal(spark):
