@@ -52,36 +52,38 @@ def window_for(width: int, height: int) -> int:
     return 11 if m >= 11 else m - 1 + m % 2
 
 
-def ssim(both: DataFrame, width: int, height: int, p: Column | str = "p", q: Column | str = "q") -> DataFrame:
-    """img_id, ssim: mean structural similarity (Wang et al., 2004) of two planes of images of one size, Gaussian window of sigma 1.5, interior pixels only. The five moments are blurred together: one sort an axis. Planes thinner than 3 score 1 if equal, else 0."""
-    x, y = (F.col(c) if isinstance(c, str) else c for c in (p, q))
-    base = both.select("img_id", "x", "y", x.cast("double").alias("mx"), y.cast("double").alias("my"))
+def ssim_planes(both: DataFrame, width: int, height: int, planes: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """img_id and a column for each of planes (name: its values on both sides): mean structural similarity (Wang et al., 2004) of images of one size, Gaussian window of sigma 1.5, interior pixels only. The five moments of all planes are blurred together: one sort an axis, whatever the planes. Images thinner than 3 score 1 where equal, else 0."""
+    base = both.select("img_id", "x", "y", *[v.cast("double").alias(f"{n}_{k}") for n, pq in planes.items() for k, v in zip(("mx", "my"), pq)])
     if min(width, height) < 3:
-        return base.groupBy("img_id").agg(F.when(F.bool_and(F.col("mx") == F.col("my")), 1.0).otherwise(0.0).alias("ssim"))
-    m = ["mx", "my", "xx", "yy", "xy"]
-    base = base.withColumns({"xx": F.col("mx") * F.col("mx"), "yy": F.col("my") * F.col("my"), "xy": F.col("mx") * F.col("my")})
-    win = window_for(width, height)
-    k = gaussian(win // 2, 1.5)
-    rows = base.withColumns({c: weighted(c, k, row()) for c in m}).filter("mx is not null")
-    full = rows.withColumns({c: weighted(c, k, column()) for c in m}).filter("mx is not null")
-    mx, my = F.col("mx"), F.col("my")
-    vx, vy, vxy = F.col("xx") - mx * mx, F.col("yy") - my * my, F.col("xy") - mx * my
-    s = (2 * mx * my + C1) * (2 * vxy + C2) / ((mx * mx + my * my + C1) * (vx + vy + C2))
-    return full.groupBy("img_id").agg(F.avg(s).alias("ssim"))
+        return base.groupBy("img_id").agg(*[F.when(F.bool_and(F.col(f"{n}_mx") == F.col(f"{n}_my")), 1.0).otherwise(0.0).alias(n) for n in planes])
+    base = base.withColumns({f"{n}_{i}{j}": F.col(f"{n}_m{i}") * F.col(f"{n}_m{j}") for n in planes for i, j in ("xx", "yy", "xy")})
+    m = [f"{n}_{k}" for n in planes for k in ("mx", "my", "xx", "yy", "xy")]
+    k = gaussian(window_for(width, height) // 2, 1.5)
+    rows = base.withColumns({c: weighted(c, k, row()) for c in m}).filter(F.col(m[0]).isNotNull())
+    full = rows.withColumns({c: weighted(c, k, column()) for c in m}).filter(F.col(m[0]).isNotNull())
+
+    def score(n: str) -> Column:
+        mx, my, xx, yy, xy = (F.col(f"{n}_{c}") for c in ("mx", "my", "xx", "yy", "xy"))
+        return F.avg((2 * mx * my + C1) * (2 * (xy - mx * my) + C2) / ((mx * mx + my * my + C1) * ((xx - mx * mx) + (yy - my * my) + C2))).alias(n)
+
+    return full.groupBy("img_id").agg(*[score(n) for n in planes])
+
+
+def ssim(both: DataFrame, width: int, height: int, p: Column | str = "p", q: Column | str = "q") -> DataFrame:
+    """img_id, ssim: ssim_planes() of two columns."""
+    return ssim_planes(both, width, height, {"ssim": tuple(F.col(c) if isinstance(c, str) else c for c in (p, q))})
 
 
 def ssim_rgba(both: DataFrame, width: int, height: int) -> DataFrame:
     """img_id, ssim, ssim_luma of premultiplied pairs: the mean over r, g, b, and alpha where the reference's varies or both are constant and differ."""
-    out = None
-    for c in "rgba":
-        one = ssim(both, width, height, f"p_{c}", f"q_{c}").withColumnRenamed("ssim", f"s_{c}")
-        out = one if out is None else out.join(one, "img_id")
-    luma = ssim(both, width, height, luma709(*[F.col(f"p_{c}") for c in "rgb"]), luma709(*[F.col(f"q_{c}") for c in "rgb"])).withColumnRenamed("ssim", "ssim_luma")
+    planes = {f"s_{c}": (F.col(f"p_{c}"), F.col(f"q_{c}")) for c in "rgba"} | {"ssim_luma": tuple(luma709(*[F.col(f"{s}_{c}") for c in "rgb"]) for s in "pq")}
+    out = ssim_planes(both, width, height, planes)
     alpha = both.groupBy("img_id").agg(*[f(f"{s}_a").alias(f"{s}_{n}") for s in "pq" for n, f in (("lo", F.min), ("hi", F.max))])
     varies = F.col("p_lo") != F.col("p_hi")
     counts = varies | ((F.col("q_lo") == F.col("q_hi")) & (F.col("p_lo") != F.col("q_lo")))
     rgb = F.col("s_r") + F.col("s_g") + F.col("s_b")
-    return out.join(luma, "img_id").join(alpha, "img_id").select("img_id", F.when(counts, (rgb + F.col("s_a")) / 4).otherwise(rgb / 3).alias("ssim"), "ssim_luma")
+    return out.join(alpha, "img_id").select("img_id", F.when(counts, (rgb + F.col("s_a")) / 4).otherwise(rgb / 3).alias("ssim"), "ssim_luma")
 
 
 def delta_e_field(both: DataFrame, background: tuple[int, int, int] = WHITE) -> DataFrame:
@@ -97,11 +99,11 @@ def delta_e_field(both: DataFrame, background: tuple[int, int, int] = WHITE) ->
 
 def delta_e_stats(field: DataFrame) -> DataFrame:
     """img_id, de_mean, de_p95, de_max; the quantile comes from bins of 0.01, capped at 100."""
-    per = field.groupBy("img_id").agg(F.avg("de").alias("de_mean"), F.max("de").alias("de_max"), F.count("*").alias("n"))
-    h = field.groupBy("img_id", F.least(F.lit(10000), half_up(F.col("de") * 100)).cast("int").alias("bin")).agg(F.count("*").alias("k"))
-    upto = W.partitionBy("img_id").orderBy("bin")
-    p95 = h.withColumn("cum", F.sum("k").over(upto)).join(per, "img_id").filter(F.col("cum") >= F.ceil(F.col("n") * 0.95)).groupBy("img_id").agg((F.min("bin") / 100).alias("de_p95"))
-    return per.join(p95, "img_id").select("img_id", "de_mean", "de_p95", "de_max")
+    h = field.groupBy("img_id", F.least(F.lit(10000), half_up(F.col("de") * 100)).cast("int").alias("bin")).agg(F.count("*").alias("k"), F.sum("de").alias("s"), F.max("de").alias("m"))
+    whole = W.partitionBy("img_id")
+    h = h.withColumns({"cum": F.sum("k").over(whole.orderBy("bin")), "n": F.sum("k").over(whole)})
+    p95 = F.min(F.when(F.col("cum") >= F.ceil(F.col("n") * 0.95), F.col("bin"))) / 100
+    return h.groupBy("img_id").agg((F.sum("s") / F.sum("k")).alias("de_mean"), p95.alias("de_p95"), F.max("m").alias("de_max"))
 
 
 def coherent(field: DataFrame, threshold: float = 2.0, neighbours: int = 4) -> DataFrame:

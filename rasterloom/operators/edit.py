@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.functions.colour import clamp, gaussian, half_up, luma709, over, stored
-from rasterloom.operators.stencil import column, row, extreme, prefix_sums, separable, sobel
+from rasterloom.operators.stencil import at, clamped, column, extreme, prefix_sums, row, separable, sobel
 
 RGB, RGBA = ("r", "g", "b"), ("r", "g", "b", "a")
 
@@ -201,31 +201,26 @@ def extend(px: DataFrame, top: int = 0, right: int = 0, bottom: int = 0, left: i
     return out.select("img_id", _i(F.col("sw") + left + right).alias("width"), _i(F.col("sh") + top + bottom).alias("height"), F.col("tx").alias("x"), F.col("ty").alias("y"), *own)
 
 
-def _taps(px: DataFrame, rx: int, ry: int, columns: list[str]) -> DataFrame:
-    """Each pixel's values sent to the places around it: target x, y with dx, dy (from the target to the source)."""
-    s = px.select("img_id", "width", "height", "x", "y", *columns)
-    e = s.withColumn("dy", F.explode(F.sequence(F.lit(-ry), F.lit(ry)))).withColumn("dx", F.explode(F.sequence(F.lit(-rx), F.lit(rx))))
-    e = e.withColumns({"x": X() - F.col("dx"), "y": Y() - F.col("dy")})
-    return e.filter((X() >= 0) & (Y() >= 0) & (X() < W_()) & (Y() < H_()))
-
-
 def median(px: DataFrame, size: int = 3, channels: tuple[str, ...] = RGB) -> DataFrame:
-    """The k x k median (lower middle of the taps inside the image); alpha stays."""
-    own = [c for c in channels if c in px.columns]
-    t = _taps(px, size // 2, size // 2, own).groupBy("img_id", "x", "y").agg(*[F.array_sort(F.collect_list(c)).alias(f"m_{c}") for c in own])
-    mid = lambda c: F.get(f"m_{c}", _i(F.floor((F.size(f"m_{c}") - 1) / 2)))
-    return px.join(t, ["img_id", "x", "y"]).withColumns({c: mid(c) for c in own}).drop(*[f"m_{c}" for c in own])
+    """The k x k median (lower middle of the taps inside the image); alpha stays. A row's taps are gathered along x, then whole gathered rows along y: two sorts."""
+    own, r = [c for c in channels if c in px.columns], size // 2
+    rows = px.withColumns({f"__m_{c}": F.array(*[at(c, d, row()) for d in range(-r, r + 1)]) for c in own})
+    taken = rows.withColumns({f"__m_{c}": F.array(*[at(f"__m_{c}", d, column()) for d in range(-r, r + 1)]) for c in own})
+    taps = taken.withColumns({f"__m_{c}": F.array_sort(F.array_compact(F.flatten(F.array_compact(f"__m_{c}")))) for c in own})
+    mid = lambda c: F.get(f"__m_{c}", _i(F.floor((F.size(f"__m_{c}") - 1) / 2)))
+    return taps.withColumns({c: mid(c) for c in own}).drop(*[f"__m_{c}" for c in own])
 
 
 def convolve(px: DataFrame, kernel: list[list[float]], scale: float | None = None, offset: float = 0.0, channels: tuple[str, ...] = RGB) -> DataFrame:
-    """Any odd kernel; taps outside the image take the nearest border pixel."""
+    """Any odd kernel; taps outside the image take the nearest border pixel. Each row of the kernel is applied along x, then their results are added along y: two sorts."""
     ry, rx = len(kernel) // 2, len(kernel[0]) // 2
     own = [c for c in channels if c in px.columns]
     div = scale if scale is not None else (sum(map(sum, kernel)) or 1.0)
-    wide = extend(px.select("img_id", "width", "height", "x", "y", *[F.col(c).alias(n) for c, n in zip(own, RGBA)]), ry, rx, ry, rx, "copy")
-    w = F.element_at(F.array(*[F.lit(float(v)) for row in kernel for v in row]), (F.col("dy") + ry) * len(kernel[0]) + F.col("dx") + rx + 1)
-    t = _taps(wide, rx, ry, list(RGBA[: len(own)])).withColumn("w", w).groupBy("img_id", (X() - rx).alias("x"), (Y() - ry).alias("y")).agg(*[F.sum(F.col(n) * F.col("w")).alias(f"k_{c}") for c, n in zip(own, RGBA)])
-    return px.join(t, ["img_id", "x", "y"]).withColumns({c: stored(F.col(f"k_{c}") / div + offset) for c in own}).drop(*[f"k_{c}" for c in own])
+    lines = {k: [(d - rx, float(v)) for d, v in enumerate(line) if v] for k, line in enumerate(kernel) if any(line)}
+    total = lambda terms: reduce(lambda u, v: u + v, terms, F.lit(0.0))
+    rows = px.withColumns({f"__k{k}_{c}": total([clamped(c, d, row()) * v for d, v in line]) for c in own for k, line in lines.items()})
+    sums = rows.withColumns({f"__s_{c}": total([clamped(f"__k{k}_{c}", k - ry, column()) for k in lines]) for c in own})
+    return sums.withColumns({c: stored(F.col(f"__s_{c}") / div + offset) for c in own}).drop(*[f"__s_{c}" for c in own], *[f"__k{k}_{c}" for c in own for k in lines])
 
 
 def blur(px: DataFrame, sigma: float, channels: tuple[str, ...] = RGBA) -> DataFrame:
@@ -452,9 +447,9 @@ def smart_crop(px: DataFrame, width: int, height: int, aspect: float = 1.0, leas
     imp = sobel(px, (0.299 * r + 0.587 * g + 0.114 * b) * (a / 255.0), saturation_weight * sat * 255)
     sums = prefix_sums(imp.select("img_id", "x", "y", F.col("importance").alias("s")), ["s"])
     corners = c.select("k", F.explode(F.array(*[F.struct((F.col("cx") + dx * F.col("cw") - 1).alias("x"), (F.col("cy") + dy * F.col("ch") - 1).alias("y"), F.lit(sign).alias("sign")) for dx, dy, sign in ((1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1))])).alias("p")).select("k", "p.*").filter("x >= 0 and y >= 0")
-    inside = sums.join(F.broadcast(corners), ["x", "y"]).groupBy("img_id", "k").agg(F.sum(F.col("s") * F.col("sign")).alias("inside"))
+    inside = sums.join(corners, ["x", "y"]).groupBy("img_id", "k").agg(F.sum(F.col("s") * F.col("sign")).alias("inside"))
     total = sums.filter((X() == width - 1) & (Y() == height - 1)).select("img_id", F.col("s").alias("total"))
-    scored = inside.join(total, "img_id").join(F.broadcast(c), "k").withColumn("score", F.round(F.col("inside") / F.col("total") - F.col("cost"), 9))
+    scored = inside.join(total, "img_id").join(c, "k").withColumn("score", F.round(F.col("inside") / F.col("total") - F.col("cost"), 9))
     best = scored.filter("total > 1e-6").groupBy("img_id").agg(F.max_by(F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cw").alias("width"), F.col("ch").alias("height"), "score"), F.struct("score", -F.col("k"))).alias("m"))
     flat = total.filter("total <= 1e-6").select("img_id", F.lit((width - mw) // 2).alias("x"), F.lit((height - mh) // 2).alias("y"), F.lit(mw).alias("width"), F.lit(mh).alias("height"), F.lit(0.0).alias("score"))
     return best.select("img_id", "m.*").union(flat)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterloom.functions.colour import clamp, half_up, linear_to_srgb, oklab_to_srgb, short_hex, with_oklab
+from rasterloom.functions.colour import half_up, short_hex, with_oklab
 from rasterloom.operators.regions import _oklab
 from rasterloom.operators.stencil import column, row, at
 from rasterloom.session import ensure_importable
@@ -144,7 +144,7 @@ def css_variables(weights: DataFrame, prefix: str = "--color") -> DataFrame:
 def lloyd_step(h: DataFrame, centres: DataFrame) -> DataFrame:
     """One k-means step as joins: img_id, idx, L, A, B, weight: the weighted mean of the bins (bins()) nearest to each centre (idx, L, A, B)."""
     p = with_oklab(h.select("img_id", "n", "rb", "gb", "bb", *[(F.col(f"s{c}") / F.col("n")).alias(c) for c in "rgb"]), ("bL", "bA", "bB"))
-    both = p.crossJoin(F.broadcast(centres.select("idx", *[F.col(c).alias(f"k{c}") for c in "LAB"])))
+    both = p.crossJoin(centres.select("idx", *[F.col(c).alias(f"k{c}") for c in "LAB"]))
     dist = F.round(_distance(tuple(F.col(f"b{c}") for c in "LAB"), tuple(F.col(f"k{c}") for c in "LAB")), 12)
     near = both.groupBy("img_id", "rb", "gb", "bb").agg(F.min_by("idx", F.struct(dist.alias("d"), "idx")).alias("idx"), F.first("n").alias("n"), *[F.first(f"b{c}").alias(c) for c in "LAB"])
     return near.groupBy("img_id", "idx").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "LAB"], F.sum("n").alias("weight"))
@@ -233,4 +233,4 @@ def median_of_box(h: DataFrame) -> DataFrame:
     return p.groupBy("img_id", "box").agg(*[half_up(F.min(F.when(F.col(f"u{c}") >= F.col("half"), F.col(f"m{c}")))).cast("int").alias(c) for c in "rgb"])
 
 
-__all__ = ["alpha_levels", "bins", "clamp", "collapse_fringe", "css_variables", "dominant_of_box", "fringe_levels", "levels_of", "linear_to_srgb", "lloyd", "lloyd_step", "median_of_box", "nearest", "nearest_level", "oklab_to_srgb", "palette_of", "palette_weights", "quantize", "wu_boxes"]
+__all__ = ["alpha_levels", "bins", "collapse_fringe", "css_variables", "dominant_of_box", "fringe_levels", "levels_of", "lloyd", "lloyd_step", "median_of_box", "nearest", "nearest_level", "palette_of", "palette_weights", "quantize", "wu_boxes"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rasterloom import bindings as B
 from rasterloom.functions import colour as K
 from rasterloom.functions import scalar as N
-from rasterloom.queries.sql import COLOURS, MIXED4, PAIRS4, RGBA4, de2000_cte, half, lab_cte, luma, oklab_cte
+from rasterloom.queries.sql import COLOURS, MIXED4, PAIRS4, RGBA4, de2000_cte, lab_cte, luma, oklab_cte
 
 R6 = lambda c, n=None: F.round(c, 6).alias(n or c)
 RGBA = ("r", "g", "b", "a")
@@ -90,8 +90,6 @@ def colour_cmyk(s: SparkSession, d: str) -> DataFrame:
     return p.select("img_id", "x", "y", *[F.round(v, 6).alias(n) for v, n in zip(N.rgb_to_cmyk(*_c("r", "g", "b")), ("cy", "ma", "ye", "k"))], N.acad_colour(*_c("r", "g", "b")).alias("aci"))
 
 
-_LIN = lambda c: f"(CASE WHEN {c} <= 0.0031308 THEN {c} * 12.92 ELSE 1.055 * power(greatest({c}, 0), 1/2.4::DOUBLE) - 0.055 END)"
-_8 = lambda e: f"CAST(least(255, greatest(0, floor({e} * 255 + 0.5))) AS INTEGER)"
 _O = lambda c, v: f"CASE WHEN a = 255 THEN {c} WHEN a = 0 THEN {v} ELSE CAST(floor({c} * (a / 255.0::DOUBLE) + {v} * (1 - a / 255.0::DOUBLE) + 0.5) AS INTEGER) END AS {c}"
 _NAMED = "CASE trim(lower(css)) WHEN 'black' THEN '000000ff' WHEN 'white' THEN 'ffffffff' WHEN 'red' THEN 'ff0000ff' WHEN 'gray' THEN '808080ff' WHEN 'transparent' THEN '00000000' WHEN 'none' THEN '00000000' END"
 _HEX = lambda e, i: f"CAST('0x' || substr({e}, {1 + 2 * i}, 2) AS INTEGER)"
@@ -117,4 +115,3 @@ _SWAP = {"colour_lab": lab_cte("rgba", "lb", "c_", ("r", "g", "b"))}
 ORACLE["colour_lab"] = f"WITH {RGBA4}, {_SWAP['colour_lab']} SELECT img_id, x, y, round(c_L, 6) AS L, round(c_A, 6) AS ca, round(c_B, 6) AS cb FROM lb"
 ORACLE["colour_oklab"] = f"WITH {RGBA4}, {oklab_cte('rgba', prefix='c_')} SELECT img_id, x, y, round(c_L, 6) AS L, round(c_A, 6) AS ca, round(c_B, 6) AS cb FROM ok"
 ORACLE["colour_delta_e2000"] = f"WITH {RGBA4}, {PAIRS4}, {lab_cte('pairs', 'lu', 'u', ('p_r', 'p_g', 'p_b'))}, {lab_cte('lu', 'lv', 'v', ('q_r', 'q_g', 'q_b'))}, {de2000_cte('lv')} SELECT img_id, x, y, round(de, 6) AS de FROM de"
-_ = (half, _LIN, _8)

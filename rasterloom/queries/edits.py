@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from rasterloom.functions.colour import gaussian
 from rasterloom.operators import edit as E
 from rasterloom.operators import histogram as H
 from rasterloom.operators import stencil as S
-from rasterloom.queries.sql import GRAY, HEAT, MIXED4, PAIRS4, RGBA4, blur_cte, half, oklab_cte
+from rasterloom.queries.sql import GRAY, HEAT, MIXED4, PAIRS4, blur_cte, oklab_cte
 
 KEEP = ("img_id", "width", "height", "x", "y", "r", "g", "b", "a")
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -131,8 +133,26 @@ QUERIES = {
     "edit_extend": _edit(extend={"top": 1, "left": 2, "right": 1, "bottom": 0, "how": "mirror"}), "edit_trim": _edit(trim={"threshold": 40}), "edit_resize_nearest": _edit(resize={"width": 6, "height": 3}), "edit_sharpen": _edit(sharpen={"sigma": 0.7}),
 } | {f.__name__: f for f in (edit_dilate, edit_erode, edit_median, edit_convolve, edit_blur, edit_composite_multiply, edit_chain, edit_resize_lanczos, edit_modulate, edit_clahe, subsample, blur_selective, diffuse_step, boundary_band, bilateral_band, sobel_importance, integral_image, smart_crop, bg_remove_everywhere)}
 _MIR = lambda i, n: f"(CASE WHEN (({i}) % {2 * n} + {2 * n}) % {2 * n} < {n} THEN (({i}) % {2 * n} + {2 * n}) % {2 * n} ELSE {2 * n - 1} - (({i}) % {2 * n} + {2 * n}) % {2 * n} END)"
-_LINF = lambda v: f"(CASE WHEN {v} <= 0 THEN 0 END)"
+def _modulated() -> str:
+    """brightness 1.1, saturation 0.5, hue 40, with the rotation's weights as numbers."""
+    cs, sn = math.cos(math.radians(40)), math.sin(math.radians(40))
+    k, q = (1 - cs) / 3, sn / math.sqrt(3)
+    turn = ((cs + k, k - q, k + q), (k + q, cs + k, k - q), (k - q, k + q, cs + k))
+    new = ", ".join(f"{_STORE('(l + (' + ' + '.join(f'd{i} * {v!r}::DOUBLE' for i, v in zip('rgb', row)) + ')) * 1.1::DOUBLE')} AS {c}" for c, row in zip("rgb", turn))
+    return f"{_W}, m AS (SELECT *, {_L} AS l, " + ", ".join(f"({c} - ({_L})) * 0.5::DOUBLE AS d{c}" for c in "rgb") + f" FROM rgba) SELECT img_id, {_ID}, x, y, {new}, a FROM m"
+
+
+_CLAHE = f"""WITH {GRAY}, h AS (SELECT img_id, x // 4 AS tx, y // 4 AS ty, v AS l, count(*) AS n FROM gray GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY img_id, tx, ty) AS total FROM h), c AS (SELECT *, least(n::DOUBLE, greatest(1.0::DOUBLE, 3.0::DOUBLE * total / 256.0::DOUBLE)) AS cut FROM k),
+e AS (SELECT *, (total - sum(cut) OVER (PARTITION BY img_id, tx, ty)) / 256.0::DOUBLE AS spare, sum(cut) OVER (PARTITION BY img_id, tx, ty ORDER BY l) AS upto FROM c),
+g AS (SELECT img_id, tx, ty, l, (upto + spare * (l + 1)) / total * 255 / greatest(l, 1) AS gain FROM e)
+SELECT p.img_id, 8 AS width, 8 AS height, p.x, p.y, {", ".join(f"{_STORE('v * gain')} AS {c}" for c in "rgb")}, 255 AS a FROM gray p JOIN g ON g.img_id = p.img_id AND g.tx = p.x // 4 AND g.ty = p.y // 4 AND g.l = p.v"""
+
+_SHARP = f"{_W}, s AS (SELECT img_id, x, y, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM rgba), {blur_cte('s', 'soft', ['r', 'g', 'b'], gaussian(2, 0.7), clamp=True, w=4, h=4)} SELECT p.img_id, {_ID}, p.x, p.y, " + ", ".join(f"{_STORE(f'p.{c} + 1.0::DOUBLE * (p.{c} - s.{c})')} AS {c}" for c in "rgb") + ", p.a FROM rgba p JOIN soft s USING (img_id, x, y)"
 ORACLE = {
+    "edit_sharpen": _SHARP,
+    "edit_modulate": _modulated(),
+    "edit_clahe": _CLAHE,
     "edit_crop": f"{_W} SELECT img_id, 2 AS width, 3 AS height, x - 1 AS x, y - 1 AS y, r, g, b, a FROM rgba WHERE x BETWEEN 1 AND 2 AND y >= 1",
     "edit_flip": f"{_W} SELECT img_id, {_ID}, x, 3 - y AS y, r, g, b, a FROM rgba",
     "edit_flop": f"{_W} SELECT img_id, {_ID}, 3 - x AS x, y, r, g, b, a FROM rgba",
@@ -183,4 +203,3 @@ d AS (SELECT img_id, x, y, a, CASE WHEN a = 0 THEN 0 ELSE sqrt(power(p_L - q_L,
 n AS (SELECT *, CASE WHEN d <= 0.08 THEN 0 WHEN d < 0.16 THEN CAST(floor(255 * ((d - 0.08::DOUBLE) / 0.08::DOUBLE) + 0.5) AS INTEGER) END AS na FROM d)
 SELECT img_id, x, y, CASE WHEN na IS NOT NULL AND na < a THEN na ELSE a END AS a FROM n""",
 }
-_ = (half, RGBA4, _LINF)

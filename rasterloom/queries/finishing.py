@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +22,7 @@ from rasterloom.plans import vectorize as V
 from rasterloom.queries import metrics
 from rasterloom.queries.regions import _BINS, _L, _heat, _heat_rgb, _labels
 from rasterloom.queries.sql import GRAY, HEAT, MIXED4, RGBA4, SHEET
+from rasterloom.sources import codecs, rasters
 from rasterloom.sources.rasters import from_pixels
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -127,6 +132,31 @@ def page_documents(s: SparkSession, d: str) -> DataFrame:
     return A.page_documents(B.markup(s, d).select((k % 7).alias("doc"), k.alias("page"), (k % 90 + 10).cast("int").alias("width"), F.lit(64).alias("height"), F.encode(F.substring("html", 1, 500), "utf-8").alias("jpeg")))
 
 
+def codec_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Images encoded as BMP, icon, portable map and TGA, and decoded again by what their bytes say they are."""
+    packed = from_pixels(B.gray_rgba(B.gray8(s, d)))
+    one = lambda k: packed.select(F.concat_ws(":", F.lit(k), "img_id").alias("path"), rasters.encoded(F.col("data"), F.col("width"), F.col("height"), k).alias("content"))
+    files = reduce(DataFrame.union, [one(k) for k in ("bmp", "ico", "pnm", "tga")])
+    px = rasters.to_pixels(rasters.decoded(files).withColumn("path", F.concat_ws("/", "path", "format")))
+    ident = F.split(F.split("img_id", "/")[0], ":")
+    return px.select(ident[0].alias("kind"), F.split("img_id", "/")[1].alias("format"), ident[1].cast("long").alias("img_id"), "x", "y", "r", "g", "b", "a")
+
+
+def _animation(frames: pa.Array) -> pa.Array:
+    out = []
+    for own in frames.to_pylist():
+        px = [(np.frombuffer(f["data"], np.uint8).reshape(f["height"], f["width"], 4), 40 * k) for k, f in enumerate(own)]
+        out.append(codecs.encode_apng(px))
+    return pa.array(out, pa.binary())
+
+
+def apng_composed(s: SparkSession, d: str) -> DataFrame:
+    """The five heat images as frames of an animated PNG, read back and composed."""
+    frames = from_pixels(_heat_rgb(s, d)).groupBy(F.lit("a").alias("path")).agg(F.sort_array(F.collect_list(F.struct("img_id", "width", "height", "data"))).alias("f"))
+    files = frames.select("path", F.arrow_udf(_animation, "binary")("f").alias("content"))
+    return rasters.to_pixels(rasters.apng_frames(files).withColumn("frame", F.col("frame").cast("int")), "frame").select(F.col("img_id").alias("frame"), "x", "y", "r", "g", "b", "a")
+
+
 def _mark(s: SparkSession) -> DataFrame:
     """A 3 x 2 overlay."""
     rows = [(3, 2, x, y, 90 * x, 200 - 60 * y, 10 + 40 * x * y, 255 - 70 * x) for x in range(3) for y in range(2)]
@@ -162,7 +192,7 @@ def dominated_traces(s: SparkSession, d: str) -> DataFrame:
     return V.dominated(traces, V.lossless_candidates(px), traces.select("img_id", F.lit(100).alias("bytes")), 1.0)
 
 
-QUERIES = {f.__name__: f for f in (outline_pins, outline_smooth, outline_agreement, outline_refined, arc_faces, vectorize_mosaic, vectorize_refined, box_dominant, box_median, blend_layer, stroke_attributes, origins_allowed, memory_refusals, office_command, favicon_files, animation_traced, placeholder_documents, page_documents, composite_tiled, composite_gravity, composite_xor, rotate_any, auto_options, dominated_traces)}
+QUERIES = {f.__name__: f for f in (outline_pins, outline_smooth, outline_agreement, outline_refined, arc_faces, vectorize_mosaic, vectorize_refined, box_dominant, box_median, blend_layer, stroke_attributes, origins_allowed, memory_refusals, office_command, favicon_files, animation_traced, placeholder_documents, page_documents, codec_kinds, apng_composed, composite_tiled, composite_gravity, composite_xor, rotate_any, auto_options, dominated_traces)}
 
 _VERTICES = f"""{_L}, v AS (SELECT i.img_id, CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y FROM (SELECT DISTINCT img_id FROM lab) i, range(0, 25) a(x), range(0, 32) b(y)),
 q AS (SELECT v.img_id, v.x, v.y, coalesce(a.comp, -2) AS a, coalesce(b.comp, -2) AS b, coalesce(c.comp, -2) AS c, coalesce(d.comp, -2) AS d FROM v
@@ -190,6 +220,8 @@ e AS (SELECT t.*, coalesce(s.r, 0) AS sr, coalesce(s.g, 0) AS sg, coalesce(s.b,
   FROM t CROSS JOIN range(0, 2) k(i) CROSS JOIN range(0, 2) l(j) LEFT JOIN rgba s ON s.img_id = t.img_id AND s.x = floor(fx) + i AND s.y = floor(fy) + j)"""
 
 ORACLE = {
+    "codec_kinds": f"WITH {GRAY} SELECT kind, kind AS format, img_id, x, y, v AS r, v AS g, v AS b, 255 AS a FROM gray CROSS JOIN (VALUES ('bmp'), ('ico'), ('pnm'), ('tga')) k(kind)",
+    "apng_composed": f"WITH {HEAT}, f AS (SELECT img_id, row_number() OVER (ORDER BY img_id) - 1 AS frame FROM (SELECT DISTINCT img_id FROM heat)) SELECT CAST(frame AS INTEGER) AS frame, x, y, class * 100 AS r, x * 10 AS g, y * 8 AS b, 255 AS a FROM heat JOIN f USING (img_id)",
     "composite_tiled": f"WITH {GRAY}, {_MARK}, p AS (SELECT g.*, m.*, s_a / 255.0::DOUBLE AS sa FROM gray g JOIN mark m ON (g.x - 5 + 300) % 3 = m.u AND (g.y - 6 + 200) % 2 = m.v) SELECT img_id, x, y, {_SCREEN}, 255 AS a FROM p",
     "composite_gravity": _duff("sa * (1 - ba)", "ba", 1, 1),
     "composite_xor": _duff("sa * (1 - ba)", "ba * (1 - sa)", 1, 1),

@@ -12,9 +12,8 @@ from rasterloom.operators import fullref as R
 from rasterloom.operators import histogram as H
 from rasterloom.operators import stencil as S
 from rasterloom.plans.vectorize import choose_mode, refine_gate
-from rasterloom.queries.sql import COLOURS, GRAY, HEAT, PAIRS4, PAIRS8, RGBA4, SHEET, MIXED4, blur_cte, de2000_cte, half, lab_cte, luma
+from rasterloom.queries.sql import GRAY, HEAT, PAIRS4, PAIRS8, RGBA4, SHEET, MIXED4, blur_cte, de2000_cte, half, lab_cte, luma
 
-__all__ = ["COLOURS", "ORACLE", "QUERIES"]
 R6 = lambda c: F.round(c, 6).alias(c)
 
 

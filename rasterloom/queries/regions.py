@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import bindings as B
+from rasterloom.functions.scalar import DIGITS83
 from rasterloom.operators import geometry as G
 from rasterloom.operators import histogram as H
 from rasterloom.operators import placeholder as P
@@ -260,7 +261,22 @@ _SIDES = " UNION ALL ".join(f"SELECT c.img_id, c.comp, c.x, c.y, '{s}' AS side,
 
 NAMES = (wu_bins, palette_nearest, palette_weights, lloyd_step, alpha_levels, alpha_levels_lloyd, alpha_fringe, alpha_collapse, quantize_palette, components, components_fixpoint, component_bounds, adaptive_min_area, class_adjacency, region_graph, despeckle, merge_regions, segment_pixels, flatten_segments, bg_flood, runs_horizontal, mesh_rectangles, mesh_rectangle_list, boundary_edges, crack_degree, loop_area, contour_areas, contours, arc_twins, thinning, centreline_length, polyline_simplify, fit_circle, fit_rect, shoelace, polyline_length, gradient_moments, blurhash_factors, blurhash_text, vectorize_auto, vectorize_exact, vectorize_trace, vectorize_budget, lossless_choice, colour_separations)
 QUERIES = {f.__name__: f for f in NAMES}
+def _blurhash(cx: int = 4, cy: int = 3) -> str:
+    """The whole text in SQL: cosine moments of linear colours, quantised, in base 83."""
+    digits = "(SELECT '" + DIGITS83.replace("'", "''") + "')"
+    base83 = lambda e, n: " || ".join(f"substr({digits}, CAST({e} AS BIGINT) // {83 ** (n - k)} % 83 + 1, 1)" for k in range(1, n + 1))
+    step = lambda c: f"least(18, greatest(0, floor(sign({c}) * sqrt(abs({c} / ((q + 1) / 166.0::DOUBLE))) * 9 + 9.5)))"
+    byte = lambda c: f"least(255, greatest(0, floor((CASE WHEN {c} <= 0.0031308 THEN {c} * 12.92 ELSE 1.055 * power({c}, 1 / 2.4::DOUBLE) - 0.055 END) * 255 + 0.5)))"
+    return f"""WITH {RGBA4}, lin AS (SELECT img_id, x, y, {", ".join(f"{linear(f'CAST({c} AS DOUBLE)')} AS l{c}" for c in "rgb")} FROM rgba),
+m AS (SELECT img_id, i, j, {", ".join(f"sum(cos(pi() * i * x / 4) * cos(pi() * j * y / 4) * (CASE WHEN i + j = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END) * l{c}) / 16 AS m{c}" for c in "rgb")} FROM lin, range(0, {cx}) a(i), range(0, {cy}) b(j) GROUP BY ALL),
+t AS (SELECT *, max(CASE WHEN i + j > 0 THEN greatest(abs(mr), abs(mg), abs(mb)) END) OVER (PARTITION BY img_id) AS top FROM m),
+u AS (SELECT *, least(82, greatest(0, floor(top * 166 - 0.5))) AS q FROM t),
+w AS (SELECT img_id, i, j, q, {step("mr")} * 361 + {step("mg")} * 19 + {step("mb")} AS v, {byte("mr")} * 65536 + {byte("mg")} * 256 + {byte("mb")} AS first FROM u)
+SELECT img_id, {base83(str((cx - 1) + (cy - 1) * 9), 1)} || {base83("max(q)", 1)} || {base83("max(CASE WHEN i + j = 0 THEN first END)", 4)} || string_agg({base83("v", 2)}, '' ORDER BY j, i) FILTER (i + j > 0) AS hash FROM w GROUP BY img_id"""
+
+
 ORACLE = {
+    "blurhash_text": _blurhash(),
     "wu_bins": f"WITH {SHEET}, {_BINS} SELECT * FROM bins",
     "palette_nearest": f"WITH {_NEAR} SELECT img_id, x, y, idx FROM sheet JOIN near USING (img_id, r, g, b)",
     "palette_weights": f"WITH {_NEAR}, n AS (SELECT img_id, idx, count(*) AS n FROM sheet JOIN near USING (img_id, r, g, b) GROUP BY 1, 2) SELECT img_id, idx, round(n / CAST(sum(n) OVER (PARTITION BY img_id) AS DOUBLE), 6) AS weight, CASE WHEN pr % 17 = 0 AND pg % 17 = 0 AND pb % 17 = 0 THEN printf('#%x%x%x', pr // 17, pg // 17, pb // 17) ELSE printf('#%02x%02x%02x', pr, pg, pb) END AS hex FROM n JOIN pal USING (idx)",
