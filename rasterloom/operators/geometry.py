@@ -392,6 +392,72 @@ def detect_primitive(points: np.ndarray, max_error: float = 1.0, least_extent: f
     return {**{k: v if isinstance(v, str) else float(v) for k, v in prim.items()}, "err": err} if err <= max_error else None
 
 
+def detect_sector(points: np.ndarray, max_error: float = 1.0, least_extent: float = 12.0) -> dict | None:
+    """The pie slice that a loop is within max_error: an apex among its corners, two straight sides and an arc around the apex, swept by 15 to 345 degrees and bulging enough to be told from a triangle."""
+    p = points.astype(float)
+    if len(p) < 6 or min(np.ptp(p, axis=0)) < least_extent / 2 or max(np.ptp(p, axis=0)) < least_extent:
+        return None
+    mid = (p + np.roll(p, -1, 0)) / 2
+    area = abs((p[:, 0] * np.roll(p, -1, 0)[:, 1] - np.roll(p, -1, 0)[:, 0] * p[:, 1]).sum()) / 2
+    best = None
+    for c in p[simplify_closed(p, 1.0)]:
+        found = _sector_around(mid, c)
+        for _ in range(2):  # again around the crossing of the lines through the two sides
+            if found is None:
+                break
+            cross = _sides_cross(mid, found)
+            again = None if cross is None else _sector_around(mid, cross)
+            found = again if again and again["err"] < found["err"] else found
+        if found and found["err"] <= max_error and abs(found["sweep"] * found["r"] ** 2 / 2 - area) <= 0.1 * area and found["r"] * (1 - math.cos(min(found["sweep"], math.pi) / 2)) > 3 * max_error and (best is None or found["err"] < best["err"]):
+            best = found
+    return best
+
+
+def _polar(mid: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = mid - c
+    return np.hypot(d[:, 0], d[:, 1]), np.arctan2(d[:, 1], d[:, 0])
+
+
+def _sector_around(mid: np.ndarray, c: np.ndarray) -> dict | None:
+    """The slice with this apex that fits points best: its sides' directions are those of the outer points, its radius the median of the arc."""
+    far, turn = _polar(mid, c)
+    outer = np.sort(turn[far > 0.5 * far.max()])
+    if len(outer) < 6:
+        return None
+    gap = np.diff(np.append(outer, outer[0] + 2 * math.pi))
+    k = int(gap.argmax())
+    first, sweep = float(outer[(k + 1) % len(outer)]), float(2 * math.pi - gap[k])
+    at = (turn - first) % (2 * math.pi)
+    inner = (at > 0.15 * sweep) & (at < 0.85 * sweep) & (far > 0.5 * far.max())
+    if not math.radians(15) <= sweep <= math.radians(345) or inner.sum() < 4:
+        return None
+    r = float(np.median(far[inner]))
+    error = float(np.minimum.reduce([np.abs(far - r), _off(far, at, 0.0), _off(far, at, sweep)]).max())
+    return {"kind": "sector", "cx": float(c[0]), "cy": float(c[1]), "r": r, "from": first, "sweep": sweep, "err": error}
+
+
+def _off(far: np.ndarray, at: np.ndarray, angle: float) -> np.ndarray:
+    """Distance from a ray."""
+    return np.where(np.cos(at - angle) > 0, np.abs(far * np.sin(at - angle)), far)
+
+
+def _sides_cross(mid: np.ndarray, s: dict) -> np.ndarray | None:
+    """Where the lines through the points nearest to the two sides cross."""
+    far, turn = _polar(mid, np.array([s["cx"], s["cy"]]))
+    at = (turn - s["from"]) % (2 * math.pi)
+    lines = []
+    for angle in (0.0, s["sweep"]):
+        own = mid[(_off(far, at, angle) < 2.5) & (far < 0.9 * s["r"])]
+        if len(own) < 3:
+            return None
+        m = own.mean(0)
+        way = np.linalg.svd(own - m)[2][0]
+        lines.append((m, way))
+    (a, u), (b, v) = lines
+    det = u[0] * v[1] - u[1] * v[0]
+    return a + u * ((b - a)[0] * v[1] - (b - a)[1] * v[0]) / det if abs(det) > 0.05 else None
+
+
 # -- thinning
 
 

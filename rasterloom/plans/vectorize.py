@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators.geometry import compact_path, contours, detect_primitive, fit_loop, number, path_text
+from rasterloom.operators.geometry import compact_path, contours, detect_primitive, detect_sector, fit_loop, number, path_text
 from rasterloom.operators.images import Planes, per_image
 from rasterloom.operators.outline import dense, face_curves, refined
+from rasterloom.operators.paint import definition, paint_of
 from rasterloom.operators.quantize import palette_of
 from rasterloom.operators.regions import _oklab, despeckled, label
 from rasterloom.operators.whole import noise_of
@@ -94,6 +95,7 @@ class Options:
     policy: str = "left"
     subpixel: bool | None = False  # refine outlines below the pixel; None: where the interior is quiet enough
     palette: tuple[tuple[int, int, int], ...] = field(default=())
+    gradients: bool = False  # regions whose colour runs along a line or out from a point are painted so
 
 
 PRESETS = {
@@ -201,19 +203,21 @@ def traced(p: Planes, o: Options) -> tuple[str, dict]:
     ls = contours(lab, o.policy)
     holes = {c for c, _, a in ls if a < 0}
     px = _stacked(p) if _refines(p, o) else None
+    paints = _paints(p, lab) if o.gradients else {}
     nodes = 0
     for c, pts, _ in ls:
         k = owner[c]
-        prim = detect_primitive(pts, o.primitive_error) if o.primitives and c not in holes else None
+        to = k if c not in paints else -1 - c
+        prim = (detect_primitive(pts, o.primitive_error) or detect_sector(pts, o.primitive_error)) if o.primitives and c not in holes else None
         if prim:
             nodes += 4
-            shapes.setdefault(k, []).append(primitive_text(prim, o.precision))
+            shapes.setdefault(to, []).append(primitive_text(prim, o.precision))
             continue
         q = pts if px is None else refined(dense(pts), px, cls, k)[0]
         seg = fit_loop(q, o.tolerance, o.fit_error, o.corner)
         nodes += len(seg)
         if seg:
-            paths.setdefault(k, []).append(path_text(seg, o.precision))
+            paths.setdefault(to, []).append(path_text(seg, o.precision))
     area = np.bincount(cls[cls >= 0], minlength=len(pal))
     body = []
     ground = int(np.argmax(area)) if len(area) and (cls >= 0).all() else -1
@@ -224,9 +228,24 @@ def traced(p: Planes, o: Options) -> tuple[str, dict]:
         if k in paths:
             body.append(f'<path fill-rule="evenodd" d="{"".join(paths[k])}"{a}/>')
         body += [s.replace("/>", f"{a}/>") for s in shapes.get(k, [])]
+    for c, paint in paints.items():
+        a = f' fill="url(#g{c})"'
+        body += [f'<path fill-rule="evenodd" d="{"".join(paths[-1 - c])}"{a}/>'] if -1 - c in paths else []
+        body += [s.replace("/>", f"{a}/>") for s in shapes.get(-1 - c, [])]
+    if paints:
+        body.insert(0, "<defs>" + "".join(definition(g, f"g{c}", o.precision) for c, g in paints.items()) + "</defs>")
     return _document(w, h, body, False), {"shapes": len(body), "colours": int((area > 0).sum()), "regions": regions, "despeckled": merged, "nodes": nodes}
 
 
+def _paints(p: Planes, lab: np.ndarray) -> dict[int, dict]:
+    """The gradients of components, by component."""
+    rgb = _stacked(p).reshape(-1, 4)[:, :3].astype(np.int64)
+    ids, w = lab.ravel(), lab.shape[1]
+    order = np.argsort(ids, kind="stable")
+    found = {int(ids[own[0]]): paint_of(own % w + 0.5, own // w + 0.5, rgb[own]) for own in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1) if len(own) and ids[own[0]] >= 0}
+    return {c: g for c, g in found.items() if g}
+
+
 def _stacked(p: Planes) -> np.ndarray:
     return np.stack([p[c] for c in "rgba"], -1)
 
@@ -261,6 +280,9 @@ def primitive_text(p: dict, precision: int = 2) -> str:
         return f'<circle cx="{n("cx")}" cy="{n("cy")}" r="{n("r")}"/>'
     if p["kind"] == "ellipse":
         return f'<ellipse cx="{n("cx")}" cy="{n("cy")}" rx="{n("rx")}" ry="{n("ry")}"/>'
+    if p["kind"] == "sector":
+        ends = [tuple(number(v, precision) for v in (p["cx"] + p["r"] * math.cos(a), p["cy"] + p["r"] * math.sin(a))) for a in (p["from"], p["from"] + p["sweep"])]
+        return f'<path d="M{n("cx")} {n("cy")}L{" ".join(ends[0])}A{n("r")} {n("r")} 0 {int(p["sweep"] > math.pi)} 1 {" ".join(ends[1])}Z"/>'
     rx = f' rx="{n("r")}"' if p["kind"] == "roundrect" else ""
     return f'<rect x="{n("x")}" y="{n("y")}" width="{n("w")}" height="{n("h")}"{rx}/>'
 

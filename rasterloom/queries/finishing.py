@@ -15,6 +15,7 @@ from rasterloom.functions import scalar as N
 from rasterloom.operators import edit as E
 from rasterloom.operators import histogram as H
 from rasterloom.operators import outline as O
+from rasterloom.operators import paint as P
 from rasterloom.operators import quantize as Q
 from rasterloom.operators import regions as R
 from rasterloom.plans import assets as A
@@ -57,10 +58,18 @@ def vectorize_mosaic(s: SparkSession, d: str) -> DataFrame:
     return V.vectorize(_heat_rgb(s, d), "mosaic", options=V.Options(colours=6))
 
 
+def vectorize_gradients(s: SparkSession, d: str) -> DataFrame:
+    return V.vectorize(_heat_rgb(s, d), "trace", options=V.Options(colours=4, gradients=True))
+
+
 def vectorize_refined(s: SparkSession, d: str) -> DataFrame:
     return V.vectorize(_heat_rgb(s, d), "trace", options=V.Options(colours=6, subpixel=True))
 
 
+def gradient_paints(s: SparkSession, d: str) -> DataFrame:
+    return P.gradients(_labels(s, d).join(_heat_rgb(s, d).select("img_id", "x", "y", "r", "g", "b"), ["img_id", "x", "y"])).select("img_id", "comp", "kind", "stops", R6("error"), R6("flat_error"), "svg")
+
+
 def _boxes(s: SparkSession, d: str) -> DataFrame:
     half = lambda c: F.shiftright(c, 4)
     return Q.bins(B.sheet(s, d)).withColumn("box", half("rb") * 4 + half("gb") * 2 + half("bb"))
@@ -192,7 +201,7 @@ def dominated_traces(s: SparkSession, d: str) -> DataFrame:
     return V.dominated(traces, V.lossless_candidates(px), traces.select("img_id", F.lit(100).alias("bytes")), 1.0)
 
 
-QUERIES = {f.__name__: f for f in (outline_pins, outline_smooth, outline_agreement, outline_refined, arc_faces, vectorize_mosaic, vectorize_refined, box_dominant, box_median, blend_layer, stroke_attributes, origins_allowed, memory_refusals, office_command, favicon_files, animation_traced, placeholder_documents, page_documents, codec_kinds, apng_composed, composite_tiled, composite_gravity, composite_xor, rotate_any, auto_options, dominated_traces)}
+QUERIES = {f.__name__: f for f in (outline_pins, outline_smooth, outline_agreement, outline_refined, gradient_paints, arc_faces, vectorize_mosaic, vectorize_gradients, vectorize_refined, box_dominant, box_median, blend_layer, stroke_attributes, origins_allowed, memory_refusals, office_command, favicon_files, animation_traced, placeholder_documents, page_documents, codec_kinds, apng_composed, composite_tiled, composite_gravity, composite_xor, rotate_any, auto_options, dominated_traces)}
 
 _VERTICES = f"""{_L}, v AS (SELECT i.img_id, CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y FROM (SELECT DISTINCT img_id FROM lab) i, range(0, 25) a(x), range(0, 32) b(y)),
 q AS (SELECT v.img_id, v.x, v.y, coalesce(a.comp, -2) AS a, coalesce(b.comp, -2) AS b, coalesce(c.comp, -2) AS c, coalesce(d.comp, -2) AS d FROM v

@@ -143,6 +143,19 @@ def test_a_mosaic_tiles_the_image():
         assert traced(assets.planes(p), o)[0].startswith("<svg")
 
 
+def test_traced_gradients():
+    from rasterloom.plans.vectorize import Options, traced
+
+    y, x = np.mgrid[0:40, 0:60]
+    p = np.stack([40 + 3 * x, 60 + x, 200 - 3 * x, np.full_like(x, 255)], -1).astype(np.uint8)
+    p[10:25, 20:40] = (250, 240, 20, 255)
+    plain, _ = traced(assets.planes(p), Options(colours=2))
+    svg, counts = traced(assets.planes(p), Options(colours=2, gradients=True))
+    assert "Gradient" not in plain and svg.count("<linearGradient") >= 1
+    ids = set(re.findall(r'<linearGradient id="(g\d+)"', svg)) | set(re.findall(r'<radialGradient id="(g\d+)"', svg))
+    assert ids and ids == set(re.findall(r'fill="url\(#(g\d+)\)"', svg)) and "#faf014" in svg
+
+
 def _signed(d):
     """The area that compact path data encloses, curves by their chords and handles."""
     total, at, start = 0.0, (0.0, 0.0), (0.0, 0.0)
@@ -166,6 +179,28 @@ def _signed(d):
     return total / 2
 
 
+@pytest.mark.parametrize(("start", "sweep"), [(0.3, 1.2), (2.0, 2.6), (-0.4, 4.4), (4.0, 0.9)])
+def test_sectors_are_found(start, sweep):
+    from rasterloom.operators.geometry import detect_primitive, detect_sector
+    from rasterloom.plans.vectorize import primitive_text
+
+    y, x = np.mgrid[0:90, 0:90] + 0.5
+    d, a = np.hypot(x - 44, y - 46), (np.arctan2(y - 46, x - 44) - start) % (2 * math.pi)
+    (loop,) = [p for c, p, _ in contours(((d <= 38) & (a <= sweep)).astype(np.int64)) if c == 1]
+    s = detect_sector(loop)
+    assert detect_primitive(loop) is None and abs(s["r"] - 38) < 1.5 and abs(s["sweep"] - sweep) < 0.12 and math.hypot(s["cx"] - 44, s["cy"] - 46) < 2.5
+    assert re.fullmatch(rf'<path d="M[-\d. ]+L[-\d. ]+A[\d.]+ [\d.]+ 0 {int(sweep > math.pi)} 1 [-\d. ]+Z"/>', primitive_text(s))
+
+
+def test_what_is_no_sector():
+    from rasterloom.operators.geometry import detect_sector
+
+    y, x = np.mgrid[0:60, 0:60] + 0.5
+    for mask in ((x > 8) & (x < 50) & (y > 8) & (y < 50), (y > 8) & (x > 8) & (x + y < 60), np.hypot(x - 30, y - 30) < 22, (np.abs(x - 30) < 4) | (np.abs(y - 30) < 4)):
+        loops = [p for c, p, _ in contours(mask.astype(np.int64)) if c == 1]
+        assert all(detect_sector(p) is None for p in loops)
+
+
 def test_square_corners():
     p = np.array([[0, 0.2], [10, 0], [10.3, 8], [0, 8.1]])
     q, forced = outline.square_corners(p, [0, 1, 2, 3], 5)
@@ -269,6 +304,25 @@ def test_stops_go_where_the_ramp_bends():
     assert stops.tolist() == [[0, 10, 20], [50, 10, 10], [100, 10, 0]]
 
 
+def test_gradients_are_found():
+    from rasterloom.operators import paint
+
+    y, x = (v.ravel() + 0.5 for v in np.mgrid[0:40, 0:60])
+    t = (x * 0.8 + y * 0.6) / (60 * 0.8 + 40 * 0.6)
+    line = np.floor(np.outer(1 - t, (250, 40, 10)) + np.outer(t, (20, 60, 220)) + 0.5).astype(int)
+    g = paint.paint_of(x, y, line)
+    x1, y1, x2, y2 = g["place"]
+    n = math.hypot(x2 - x1, y2 - y1)
+    assert g["kind"] == "linear" and abs(abs((x2 - x1) / n) - 0.8) < 0.03 and g["error"] < 0.05 * g["flat"]
+    r = np.hypot(x - 25, y - 18) / 45
+    disc = np.floor(np.outer(1 - r, (255, 250, 200)) + np.outer(r, (30, 10, 90)) + 0.5).clip(0, 255).astype(int)
+    g = paint.paint_of(x, y, disc)
+    assert g["kind"] == "radial" and abs(g["place"][0] - 25) < 1.5 and abs(g["place"][1] - 18) < 1.5 and g["error"] < 0.1 * g["flat"]
+    assert re.fullmatch(r'<radialGradient id="a" gradientUnits="userSpaceOnUse" cx="[\d.]+" cy="[\d.]+" r="[\d.]+">(<stop offset="[\d.]+" stop-color="#[0-9a-f]{6}"/>)+</radialGradient>', paint.definition(g, "a"))
+    noise = np.random.default_rng(2).integers(0, 256, (len(x), 3))
+    assert paint.paint_of(x, y, noise) is None and paint.paint_of(x, y, np.full((len(x), 3), 9)) is None and paint.paint_of(x[:20], y[:20], line[:20]) is None
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.floats(-5, 5), min_size=3, max_size=3))
 def test_top_eigenvector_is_that_of_numpy(v):
