@@ -204,3 +204,65 @@ def heat_map(both: DataFrame, threshold: float = 2.0) -> DataFrame:
         return {"changed": [n], "n": [de.size], "fraction": [n / de.size], "de_max": [de.max()], "de_mean": [de.mean()], "width": [p.shape[1]], "height": [p.shape[0]], "data": [opaque.tobytes()]}
 
     return per_raster(both, run, "changed long, n long, fraction double, de_max double, de_mean double, width int, height int, data binary", ("p", "q"))
+
+
+#: Ringing: pixels walked to flat colour, the squared step below which it is flat, the least squared contrast of the two sides, how far from their line a spike may lie, the least squared overshoot, how different the channels of a gray are, and by what share of the contrast grays may overshoot before they are a line of their own.
+WALK, FLAT, SIDES, ASIDE, OVERSHOOT, GRAY, LINE = 6, 16, 3000, 300, 500, 2, 0.5
+
+
+def despiked(p: np.ndarray) -> np.ndarray:
+    """An image whose ringing is clipped: a pixel between two flat colours (along a row, column or diagonal) that overshoots one of them, on the line through both in premultiplied RGBA, becomes that one; of several directions the largest overshoot counts. Pixels like all their neighbours stay, and so do overshoots of gray lines between grays."""
+    h, w = p.shape[:2]
+    if min(h, w) < 3:
+        return p.copy()
+    m = WALK + 2
+    v = p.astype(float)
+    v[..., :3] *= v[..., 3:] / 255
+    wide = np.pad(v, ((m, m), (m, m), (0, 0)), constant_values=np.nan)
+    tone = np.pad((np.ptp(p[..., :3].astype(int), axis=-1) <= GRAY), m)
+    raw = np.pad(p.astype(np.int16), ((1, 1), (1, 1), (0, 0)), constant_values=-1)
+    at = lambda a, dx, dy, r=m: a[r + dy : r + dy + h, r + dx : r + dx + w]
+    alike = np.ones((h, w), bool)
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            q = at(raw, dx, dy, 1)
+            alike &= (q == p).all(-1) | (q[..., 3] < 0)
+
+    def plateau(dx: int, dy: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first of three like colours in a row along a direction (nan without), and whether it is gray."""
+        steps = [at(wide, dx * k, dy * k) for k in range(1, m + 1)]
+        still = [((a - b) ** 2).sum(-1) <= FLAT for a, b in zip(steps, steps[1:])]
+        out, gray = np.full((h, w, 4), np.nan), np.zeros((h, w), bool)
+        for k in range(m - 3, -1, -1):
+            ok = still[k] & still[k + 1]
+            out[ok], gray[ok] = steps[k][ok], at(tone, dx * (k + 1), dy * (k + 1))[ok]
+        return out, gray
+
+    best, new = np.zeros((h, w)), v.copy()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1)):
+            (a, ga), (b, gb) = plateau(-dx, -dy), plateau(dx, dy)
+            ab = b - a
+            n2 = (ab * ab).sum(-1)
+            t = ((v - a) * ab).sum(-1) / n2
+            aside = ((v - a - t[..., None] * ab) ** 2).sum(-1)
+            over = np.where(t < 0, t * t, (t - 1) ** 2) * n2
+            lines = ga & gb & at(tone, 0, 0) & (over > LINE * n2)
+            hit = ~alike & (n2 >= SIDES) & ((t < 0) | (t > 1)) & (aside <= ASIDE) & (over >= OVERSHOOT) & ~lines & (over > best)
+            best = np.where(hit, over, best)
+            new = np.where(hit[..., None], np.where((t < 0)[..., None], a, b), new)
+    out, hit = p.copy(), best > 0
+    alpha = new[hit][:, 3:]
+    colour = np.where(alpha > 0, new[hit][:, :3] * 255 / np.where(alpha > 0, alpha, 1), 0)
+    out[hit] = np.clip(np.rint(np.concatenate([colour, alpha], 1)), 0, 255).astype(np.uint8)
+    return out
+
+
+def despike(rasters: DataFrame) -> DataFrame:
+    """img_id, width, height, data, despiked(); touched: pixels that changed."""
+
+    def run(p: np.ndarray) -> Result:
+        out = despiked(p)
+        return {"width": [p.shape[1]], "height": [p.shape[0]], "data": [out.tobytes()], "touched": [int((out != p).any(-1).sum())]}
+
+    return per_raster(rasters, run, "width int, height int, data binary, touched long")

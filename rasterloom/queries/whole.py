@@ -57,7 +57,12 @@ def whole_diff(s: SparkSession, d: str) -> DataFrame:
     return I.heat_map(_pairs(s, d)).select("img_id", "changed", "n", R6("fraction"), R6("de_max"), R6("de_mean"))
 
 
-QUERIES = {f.__name__: f for f in (whole_histogram, whole_otsu, whole_flatness, whole_blur, whole_components, whole_report, whole_diff)}
+def whole_despike(s: SparkSession, d: str) -> DataFrame:
+    """Ringing clipped in the sheets of lineitem (voids and all)."""
+    return to_pixels(I.despike(from_pixels(B.sheet(s, d))).drop("touched"), "img_id")
+
+
+QUERIES = {f.__name__: f for f in (whole_histogram, whole_otsu, whole_flatness, whole_blur, whole_components, whole_report, whole_diff, whole_despike)}
 ORACLE = {
     "whole_histogram": f"WITH {GRAY} SELECT img_id, (CAST(v AS BIGINT) << 24) + (v << 16) + (v << 8) + 255 AS key, count(*) AS n FROM gray GROUP BY 1, 2",
     "whole_otsu": metrics.ORACLE["otsu"],

@@ -410,6 +410,71 @@ def test_labels_are_those_of_a_flood(h, w, k, seed):
     assert (regions.label(c) == want).all()
 
 
+def plain_despiked(p):
+    """Pixel by pixel."""
+    h, w = p.shape[:2]
+    pm = lambda y, x: [float(p[y, x, c]) * p[y, x, 3] / 255 for c in range(3)] + [float(p[y, x, 3])]
+    gap = lambda a, b: sum((i - j) ** 2 for i, j in zip(a, b))
+    gray = lambda y, x: int(max(p[y, x, :3])) - int(min(p[y, x, :3])) <= 2
+
+    def walk(y, x, dx, dy):
+        line = []
+        for k in range(1, 9):
+            i, j = y + dy * k, x + dx * k
+            if not (0 <= i < h and 0 <= j < w):
+                break
+            line.append((i, j))
+        for a, b, c in zip(line, line[1:], line[2:]):
+            if gap(pm(*a), pm(*b)) <= 16 and gap(pm(*b), pm(*c)) <= 16:
+                return a
+
+    out = p.copy()
+    for y in range(h):
+        for x in range(w):
+            near = [p[i, j] for i in range(max(0, y - 1), min(h, y + 2)) for j in range(max(0, x - 1), min(w, x + 2))]
+            if all((q == p[y, x]).all() for q in near):
+                continue
+            best = (0.0, None)
+            for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1)):
+                a, b = walk(y, x, -dx, -dy), walk(y, x, dx, dy)
+                if not a or not b or gap(pm(*a), pm(*b)) < 3000:
+                    continue
+                u, v, q = pm(*a), pm(*b), pm(y, x)
+                d = [j - i for i, j in zip(u, v)]
+                n2 = sum(k * k for k in d)
+                t = sum((k - i) * m for k, i, m in zip(q, u, d)) / n2
+                over = (t * t if t < 0 else (t - 1) ** 2) * n2
+                aside = gap(q, [i + t * m for i, m in zip(u, d)])
+                if 0 <= t <= 1 or aside > 300 or over < 500 or (gray(*a) and gray(*b) and gray(y, x) and over > 0.5 * n2):
+                    continue
+                if over > best[0]:
+                    best = (over, u if t < 0 else v)
+            if best[1]:
+                al = best[1][3]
+                out[y, x] = [min(255, max(0, round(c * 255 / al))) for c in best[1][:3]] + [round(al)] if al > 0 else 0
+    return out
+
+
+def test_ringing_is_clipped():
+    r = np.random.default_rng(7)
+    touched = 0
+    for k in range(6):
+        p = np.zeros((14, 26, 4), np.uint8)
+        left, right = r.integers(60, 200, (2, 3))
+        p[:, :13, :3], p[:, 13:, :3], p[..., 3] = left, right, 255
+        far = (right.astype(int) - left) * 0.35
+        p[:, 12, :3], p[:, 13, :3] = np.clip(left - far, 0, 255), np.clip(right + far, 0, 255)
+        if k % 2:
+            p[r.random((14, 26)) < 0.06] = r.integers(0, 256, 4)
+        if k == 5:
+            p[:, 20:, 3] = 0
+        got = whole.despiked(p)
+        assert (got == plain_despiked(p)).all()
+        touched += int((got != p).any())
+    assert touched >= 3
+    assert (whole.despiked(p[:2]) == p[:2]).all() and (whole.despiked(np.full((5, 5, 4), 7, np.uint8)) == 7).all()
+
+
 # -- markup
 
 
