@@ -203,7 +203,7 @@ def rounded3(v: Column) -> Column:
 
 
 #: Media types of images that a document may take in, by extension.
-IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml"}
+IMAGE_TYPES = {"gif": "image/gif", "svg": "image/svg+xml"} | dict.fromkeys(("jpeg", "jpg"), "image/jpeg") | {k: f"image/{k}" for k in ("webp", "png")}
 _HREF = r"""(?i)\b((?:xlink:)?href)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 

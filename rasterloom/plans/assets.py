@@ -68,7 +68,9 @@ def manifest(name: str = "App", short_name: str | None = None, theme: str = "#ff
 
 def favicon_set(rasters: DataFrame, name: str = "App", short_name: str | None = None, theme: str = "#ffffff", background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
     """img_id, file, width, bytes of every image's icon set: favicon.ico (16, 32 and 48 pixels), four PNGs, the web manifest and the head's HTML (width is null for these two)."""
-    page = "\n".join(('<link rel="icon" href="/favicon.ico" sizes="any">', '<link rel="icon" type="image/png" href="/icon-192.png">', '<link rel="apple-touch-icon" href="/apple-touch-icon.png">', f'<meta name="theme-color" content="{theme}">', '<link rel="manifest" href="/manifest.webmanifest">'))
+    link = lambda rel, href, **more: "<link " + " ".join(f'{k}="{v}"' for k, v in {"rel": rel, "href": href, **more}.items()) + ">"
+    links = [link("icon", "/favicon.ico", sizes="any"), link("icon", "/icon-192.png", type="image/png"), link("apple-touch-icon", "/apple-touch-icon.png"), link("manifest", "/manifest.webmanifest")]
+    page = "\n".join([*links, f'<meta name="theme-color" content="{theme}">'])
     text = manifest(name, short_name, theme, "#" + bytes(background).hex())
 
     def run(p: np.ndarray) -> dict:

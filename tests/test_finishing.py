@@ -548,6 +548,24 @@ def test_pdf_pages_are_counted(spark):
     assert [x["n"] for x in d.select("id", pdf_page_count(F.col("content")).alias("n")).orderBy("id").collect()] == [3, 12, None, None, None]
 
 
+def test_circles_stay_circles(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.sources import export
+
+    rows = [(1, 0, 100, 80, [(1.0, 2.0), (30.0, 2.0), (30.0, 40.0)], 255, 0, 51, 255, None, None, None), (1, 1, 100, 80, None, 0, 0, 255, 255, 50.0, 30.0, 12.5)]
+    d = spark.createDataFrame(rows, "img_id int, ord int, width int, height int, points array<struct<x:double,y:double>>, r int, g int, b int, a int, cx double, cy double, radius double")
+    text = {f.__name__: f(d).first()["text"] for f in (export.svg, export.dxf, export.eps, export.pdf)}
+    assert '<circle cx="50" cy="30" r="12.5" fill="#0000ff"/>' in text["svg"] and text["svg"].count("<path") == 1
+    assert "0\nCIRCLE\n8\nC0000FF\n" in text["dxf"] and "\n10\n50\n20\n50\n40\n12.5\n" in text["dxf"] and text["dxf"].count("LWPOLYLINE") == 1
+    assert "50 50 12.5 0 360 arc" in text["eps"]
+    pdf = text["pdf"]
+    start = int(re.search(r"startxref\n(\d+)\n", pdf)[1])
+    assert pdf[start : start + 4] == "xref" and pdf.count(" c\n") == 4 and "62.5 50 m" in pdf
+    plain = d.drop("cx", "cy", "radius").filter("ord = 0")
+    assert all(f(plain).first()["text"] == f(d.filter("ord = 0").withColumn("radius", F.lit(None).cast("double"))).first()["text"] for f in (export.svg, export.dxf, export.eps, export.pdf))
+
+
 # -- sets of files
 
 
