@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rasterloom.llm.grouping import Groups, blocks
+from rasterloom.llm.grouping import Groups, blocks, whole_groups
 from rasterloom.llm.text import U64, mix, shingles, slices, utf8
 from rasterloom.session import cut, ensure_importable, unused
 
 #: Words of a gram, least Jaccard similarity, trees, hashes down each tree, recall wanted at the threshold.
 GRAM, THRESHOLD, TREES, DEPTH, RECALL = 2, 0.6, 40, 8, 0.95
+#: Grams in a part of a group, grams that a set counts as besides its own, sets that share a gram up to which their pairs are counted one by one.
+CELL, SET_COSTS, FEW = 1 << 20, 1 << 10, 8
 
 
 def recall_at(depth: int, threshold: float, trees: int) -> float:
@@ -157,29 +159,24 @@ def _near(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def rest(trie: DataFrame, groups: Groups, threshold: float, stop: int, depth: int) -> DataFrame:
-    """(u, v, cu, cv): all pairs of sets that share a node at the level at which one's search ended and are still in different groups."""
-    state = groups.state.select(F.col("id").alias("set_id"), "comp", F.col("stop").alias("ended"))
-    rows = trie.join(state, "set_id", "left").withColumns({"comp": F.coalesce("comp", "set_id"), "ended": F.coalesce("ended", F.lit(stop))})
-    levels = F.sequence(F.lit(stop), F.col("match"))
-    nodes = rows.select("*", F.explode(levels).alias("level")).withColumn("path", _prefix(F.col("level"), stop, depth))
-    key = ["node", "level", "path"]
-    mixed = nodes.groupBy(*key).agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max((F.col("ended") <= F.col("level")).cast("int")).alias("asked")).filter("a < b and asked = 1").select(*key)
-    nodes = cut(nodes.join(mixed, key, "left_semi").select(*key, "set_id", "n_grams", "comp", "ended"), "mixed")
-    asks = nodes.filter("ended <= level").select(*key, F.col("set_id").alias("u"), F.col("n_grams").alias("n"), F.col("comp").alias("cu"))
-    have = nodes.select(*key, F.col("set_id").alias("v"), F.col("n_grams").alias("m"), F.col("comp").alias("cv"))
-    pairs = asks.join(have, key).filter("cu != cv").filter(_near(F.col("n"), F.col("m"), threshold))
-    first = F.col("u") > F.col("v")
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.when(first, F.col("cu")).otherwise(F.col("cv")).alias("cu"), F.when(first, F.col("cv")).otherwise(F.col("cu")).alias("cv"))
-    return pairs.dropDuplicates(["u", "v"])
+def rest(trie: DataFrame, groups: Groups, threshold: float) -> DataFrame:
+    """(u, v, cu, cv): all pairs of sets that share a node, whatever the levels at which their searches ended, and are still in different groups. Pairs whose sizes alone rule the threshold out are left out."""
+    state = groups.state.select(F.col("id").alias("set_id"), "comp")
+    rows = trie.join(state, "set_id", "left").select("node", "set_id", "n_grams", F.coalesce("comp", "set_id").alias("comp"))
+    mixed = rows.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("node")
+    nodes = cut(rows.join(mixed, "node", "left_semi"), "mixed")
+    one = nodes.select("node", F.col("set_id").alias("u"), F.col("n_grams").alias("n"), F.col("comp").alias("cu"))
+    other = nodes.select("node", F.col("set_id").alias("v"), F.col("n_grams").alias("m"), F.col("comp").alias("cv"))
+    pairs = one.join(other, "node").filter("u > v and cu != cv").filter(_near(F.col("n"), F.col("m"), threshold))
+    return pairs.select("u", "v", "cu", "cv").distinct()
 
 
 def search(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> tuple[DataFrame, Groups]:
     """The sketch (doc_id, set_id, n_grams, ...) of docs (doc_id long, text) and the groups of set_ids, by an LSH forest.
 
-    Every set asks each of its trees for the sets that share its path down to a level, from the full depth on. What is found is compared exactly. A query ends at the level at which its recall is reached, estimated from what its group's k verified links would miss there: a pair of similarity s is found at level d with the chance r = 1 - (1 - s^d)^trees, so k links stand for sum(1 / r) pairs; with one more, unseen, at the threshold, the recall is (k + 1) / (sum(1 / r) + 1 / r(threshold)). Without links that asks for the length shortened() gives; many close links end a search deeper, where nodes hold fewer strangers. A pair is a candidate if one end asks at a level at which they share a node.
+    Every set asks each of its trees for the sets that share its path down to a level, from the full depth on. What is found is compared exactly. A query's search by hubs ends at the level at which its recall is reached, estimated from what its group's k verified links would miss there: a pair of similarity s is found at level d with the chance r = 1 - (1 - s^d)^trees, so k links stand for sum(1 / r) pairs; with one more, unseen, at the threshold, the recall is (k + 1) / (sum(1 / r) + 1 / r(threshold)). Without links that asks for the length shortened() gives; many close links end a search deeper, where nodes hold fewer strangers.
 
-    First each node's sets are compared with one hub, level by level; then all candidates that are still in different groups with each other. So a group of copies costs about its size, while every candidate pair is compared or known to be in one group.
+    First each node's sets are compared with one hub, level by level; then all pairs that share a node at any level, ended or not, and are still in different groups. So a group of copies costs about its size, while every candidate pair is compared or known to be in one group; links() compares the latter.
     """
     stop = shortened(threshold, trees, depth, recall)
     sketch = cut(docs.mapInArrow(_sketch(gram, stop, depth, trees), "doc_id long, set_id long, n_grams int, nodes array<long>, deep array<long>"), "sketch")
@@ -199,11 +196,104 @@ def search(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, tree
 
     groups = Groups(sets, lambda rows: rows.mapInArrow(_compare(threshold), "u long, v long, cu long, cv long, score double"), ends)
     groups.descend(hubs)
-    left = cut(rest(trie, groups, threshold, stop, depth), "rest")
+    left = cut(rest(trie, groups, threshold), "rest")
     groups.step(left, left.count(), stop)
     return sketch, groups
 
 
+def common(values: np.ndarray, size: np.ndarray, split: int) -> np.ndarray:
+    """How many values sets have in common: those before `split` (rows) with those from there on (columns), or all with all if split is 0 (the diagonal has no meaning). The sets lie end to end in values, each without repeats."""
+    m = len(size)
+    order = np.argsort(values, kind="stable")
+    v, owner = values[order], np.repeat(np.arange(m), size)[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), v[1:] != v[:-1])))
+    count = np.diff(np.append(start, len(v)))
+    out = np.zeros((m, m), np.int64)
+    for c in range(2, FEW + 1):  # what few sets have: pair by pair
+        at = start[count == c]
+        if len(at):
+            i, j = np.triu_indices(c, 1)
+            x = owner[at[:, None] + np.arange(c)]
+            out += np.bincount((x[:, i] * m + x[:, j]).ravel(), minlength=m * m).reshape(m, m)
+    out = out[:split, split:] if split else out + out.T
+    many, step = np.flatnonzero(count > FEW), max(64, (1 << 21) // max(1, m))
+    for k in range(0, len(many), step):  # what many have: by products of matrices
+        n = count[many[k : k + step]]
+        at = np.repeat(start[many[k : k + step]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        has = np.zeros((m, len(n)), np.float32)
+        has[owner[at], np.repeat(np.arange(len(n)), n)] = 1
+        out += (has[:split] @ has[split:].T if split else has @ has.T).astype(np.int64)
+    return out
+
+
+def _degrees(threshold: float):
+    """From the rows of cells: for every set of a cell its links there and the most similar one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "cell"):
+            comp, i, j, part, ids, doc, copies = (t.column(c).to_numpy() for c in ("comp", "i", "j", "part", "id", "doc", "copies"))
+            lists = t.column("grams").combine_chunks()
+            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            start = np.flatnonzero(np.concatenate((np.ones(1, bool), (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))  # a hash may have two cells
+            out = []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(ids)]):
+                split = int(np.searchsorted(part[a:b], j[a])) if i[a] < j[a] else 0
+                if b - a < 2 or i[a] < j[a] and split in (0, b - a):
+                    continue
+                size = np.diff(off[a : b + 1])
+                shared = common(flat[off[a] : off[b]], size, split)
+                one, other = (slice(a, a + split), slice(a + split, b)) if split else (slice(a, b), slice(a, b))
+                rows, columns = (size[:split], size[split:]) if split else (size, size)
+                union = rows[:, None] + columns - shared
+                ok = shared >= threshold * union
+                if not split:
+                    np.fill_diagonal(ok, False)
+                score = np.where(ok, shared / union, 0.0)
+                for x, y, o, s in ((one, other, ok, score), (other, one, ok.T, score.T))[: 2 if split else 1]:
+                    best = s.argmax(1)  # the first, as rows are sorted by doc
+                    some = o.any(1)
+                    out.append((ids[x][some], (o @ copies[y])[some], doc[y][best][some], s[np.arange(len(best)), best][some]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["id", "n", "partner", "jaccard"])
+
+    return run
+
+
+def links(groups: Groups, copies: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """(id, n, partner, jaccard) for every id of groups: the documents whose sets are linked to it and the most similar of these sets' documents. copies: (id, doc, copies), a set's smallest doc_id and number of documents.
+
+    Within a group all pairs of sets are compared, whether the forest had them as candidates or not. A group's sets are dealt to parts of about `cell` grams, and any two parts meet in one task; a group of few sets is one part. Only counts leave a task, so the output grows with the sets, not with their pairs.
+    """
+    of = groups.state.select("id", "comp").join(copies, "id")
+    sets = groups.items.join(of, "id")
+    parts = groups.items.select("id", (F.size("grams") + SET_COSTS).alias("cost")).join(groups.state.select("id", "comp"), "id").groupBy("comp").agg(F.ceil(F.sum("cost") / cell).cast("int").alias("parts"))
+    dealt = sets.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "doc", F.col("copies"), "grams")
+    cells = cells.withColumn("cell", F.xxhash64("comp", "i", "j")).repartition("cell").sortWithinPartitions("cell", "comp", "i", "j", "part", "doc")
+    found = cells.mapInArrow(_degrees(threshold), "id long, n long, partner long, jaccard double")
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.min_by(F.struct("partner", "jaccard"), F.struct(-F.col("jaccard"), "partner")).alias("x")).select("id", "n", "x.*")
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
+    """The similarity join of docs (doc_id, text, ...) with itself, one row a document: doc_id, class_id (the smallest doc_id of the documents that links join to it, taken transitively; its own without links), n_links (the other documents whose exact Jaccard similarity to it reaches the threshold), partner (the most similar document with other grams; null without), jaccard (to the partner).
+
+    The sets are those of near_duplicates. Documents with the very same grams are linked (similarity 1) and counted, but their sets are compared once. Candidates that bring classes together come from the LSH forest of search(); inside a class every pair of sets is compared (links()), so a link is missed only where the forest leaves its ends in different classes.
+
+    Cases: null doc_id: not in the result. Null or empty text, or one without words: a class of its own, no links. Long texts count whole. Repeated rows (an id twice) count as one document if their texts have equal grams; with other texts each is a document and has a row. Equal similarities: the partner with the smaller id. Other columns are ignored. Empty table: empty result.
+    """
+    ensure_importable(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    sketch, groups = search(docs, threshold=threshold, **parameters)
+    ids = sketch.select("doc_id", F.col("set_id").alias("id")).distinct()
+    copies = cut(ids.groupBy("id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "copies")
+    state = groups.state.select("id", "comp").join(copies.select("id", "doc"), "id")
+    named = state.join(state.groupBy("comp").agg(F.min("doc").alias("first")), "comp").select("id", "first")
+    sets = copies.join(named.join(links(groups, copies, threshold), "id"), "id", "left")
+    sets = sets.select("id", F.coalesce("first", "doc").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "partner", "jaccard")
+    none = docs.select("doc_id").distinct().join(ids.select("doc_id"), "doc_id", "left_anti")
+    return ids.join(sets, "id").drop("id").unionByName(none.withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")}), allowMissingColumns=True)
+
+
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """Each document of docs (doc_id, text, ...) that has a near duplicate: doc_id, group_id (the group's smallest doc_id), partner (a doc_id of the group whose set was compared with this document's, the most similar such; null for documents whose only partners have the very same grams), jaccard (to the partner; 1.0 where it is null).
 

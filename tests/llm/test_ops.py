@@ -541,6 +541,58 @@ def test_near_awkward(docs, nothing):
     assert jaccard.near_groups(nothing).count() == 0 and jaccard.first_of_each(nothing).count() == 0
 
 
+def test_common_values_match_plain_loops():
+    r = random.Random(1)
+    for m in (2, 3, 20, 60):
+        sets = [r.sample(range(80), r.randrange(1, 40)) for _ in range(m)]
+        flat, size = np.array([x for s in sets for x in s], np.int64), np.array([len(s) for s in sets])
+        for split in (0, m // 2):
+            got, left, right = jaccard.common(flat, size, split), sets[: split or m], sets[split:]
+            assert got.shape == (len(left), len(right))
+            assert all(split == 0 and i == j or got[i, j] == len(set(a) & set(b)) for i, a in enumerate(left) for j, b in enumerate(right))
+
+
+def test_no_link_is_left_out(spark):
+    """Two tight classes whose searches end deep but that are linked with each other, loosely linked texts, copies, repeated ids, texts without words."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    far = [f"n{i}" if i < 36 else w for i, w in enumerate(base)]  # about 0.78 similar
+
+    def copy(words, share):
+        return " ".join(w if r.random() > share else f"m{r.randrange(10**9)}" for w in words)
+
+    texts = [copy(base, 0.003) for _ in range(25)] + [copy(far, 0.003) for _ in range(25)]
+    texts += [copy(base[:150] + [f"{k}x{i}" for i in range(20)], 0.02) for k in "abcd"] + [texts[3].upper(), texts[3] + " !", prose(5, 90), None, "", "?!"]
+    rows = [*enumerate(texts), (3, texts[3]), (56, texts[56]), (None, texts[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [grams(t) for t in texts]
+    score = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.permutations(range(len(texts)), 2) if sets[i] and sets[j]}
+    linked = [p for p, s in score.items() if s >= jaccard.THRESHOLD]
+    got = jaccard.near_links(d).toPandas().set_index("doc_id")
+    assert sorted(got.index) == list(range(len(texts)))
+    assert all(got.n_links[i] == sum(a == i for a, _ in linked) for i in got.index) and len(linked) > 2400
+    assert {tuple(sorted(g.index)) for _, g in got.groupby("class_id")} == {tuple(sorted(g)) for g in components(len(texts), linked).values()}
+    assert all(k == min(g.index) for k, g in got.groupby("class_id"))
+    for i in got.index:
+        others = [(-score[i, j], j) for a, j in linked if a == i and sets[j] != sets[i]]
+        if others:
+            assert got.partner[i] == min(others)[1] and got.jaccard[i] == pytest.approx(-min(others)[0])
+        else:
+            assert np.isnan(got.partner[i]) and np.isnan(got.jaccard[i])
+    # the same if a class is dealt to many parts, and less if only pairs of different groups were compared, as in near_groups
+    sketch, groups = jaccard.search(d.filter("doc_id is not null"))
+    copies = sketch.select("doc_id", F.col("set_id").alias("id")).distinct().groupBy("id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
+    many = jaccard.links(groups, copies, jaccard.THRESHOLD, cell=20_000).join(copies, "id").toPandas()
+    assert all(got.n_links[x.doc] == x.n + x.copies - 1 and got.partner[x.doc] == x.partner for x in many.itertuples()) and len(many) > 30
+    assert groups.links.count() < len(linked) // 4
+
+
+def test_near_links_awkward(docs, nothing):
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.near_links(docs).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 9: (9, 1), 10: (9, 1), **{k: (k, 0) for k in (4, 5, 6, 7, 8, 11, 12)}}
+    assert jaccard.near_links(nothing).count() == 0
+
+
 # -- 7 shards
 
 
