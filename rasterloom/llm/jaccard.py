@@ -176,7 +176,7 @@ def search(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, tree
 
     Every set asks each of its trees for the sets that share its path down to a level, from the full depth on. What is found is compared exactly. A query's search by hubs ends at the level at which its recall is reached, estimated from what its group's k verified links would miss there: a pair of similarity s is found at level d with the chance r = 1 - (1 - s^d)^trees, so k links stand for sum(1 / r) pairs; with one more, unseen, at the threshold, the recall is (k + 1) / (sum(1 / r) + 1 / r(threshold)). Without links that asks for the length shortened() gives; many close links end a search deeper, where nodes hold fewer strangers.
 
-    First each node's sets are compared with one hub, level by level; then all pairs that share a node at any level, ended or not, and are still in different groups. So a group of copies costs about its size, while every candidate pair is compared or known to be in one group; links() compares the latter.
+    First each node's sets are compared with one hub, those of the deepest level before all others; then all pairs that share a node at any level, ended or not, and are still in different groups. So a group of copies costs about its size, while every candidate pair is compared or known to be in one group; links() compares the latter.
     """
     stop = shortened(threshold, trees, depth, recall)
     sketch = cut(docs.mapInArrow(_sketch(gram, stop, depth, trees), "doc_id long, set_id long, n_grams int, nodes array<long>, deep array<long>"), "sketch")
@@ -195,7 +195,10 @@ def search(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, tree
         return F.coalesce(*reached, F.lit(stop))
 
     groups = Groups(sets, lambda rows: rows.mapInArrow(_compare(threshold), "u long, v long, cu long, cv long, score double"), ends)
-    groups.descend(hubs)
+    for high, low in ((depth, depth), (depth - 1, stop)):  # two rounds: each leaves plans and classes in the driver
+        if low <= high:
+            now = cut(groups.apart(hubs.filter(F.col("level").between(low, high))), "pairs")
+            groups.step(now, now.count(), high)
     left = cut(rest(trie, groups, threshold), "rest")
     groups.step(left, left.count(), stop)
     return sketch, groups

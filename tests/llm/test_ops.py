@@ -587,6 +587,15 @@ def test_no_link_is_left_out(spark):
     assert groups.links.count() < len(linked) // 4
 
 
+def test_the_forest_is_searched_in_few_rounds(spark, monkeypatch):
+    """Pairs just under the threshold meet at every level; each round of comparisons leaves plans in the driver."""
+    rounds, step = [], grouping.Groups.step
+    monkeypatch.setattr(grouping.Groups, "step", lambda self, pairs, n, level: rounds.append(n) or step(self, pairs, n, level))
+    texts = [" ".join(f"{k}{c if i >= 75 else ''}w{i}" for i in range(100)) for k in range(40) for c in "ab"]
+    _, groups = jaccard.search(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert groups.state.isEmpty() and sum(rounds) >= 40 and len(rounds) <= 3
+
+
 def test_near_links_awkward(docs, nothing):
     got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.near_links(docs).collect()}
     assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 9: (9, 1), 10: (9, 1), **{k: (k, 0) for k in (4, 5, 6, 7, 8, 11, 12)}}
