@@ -235,6 +235,49 @@ def test_holders_of_a_passage_are_all_compared(spark, monkeypatch):
     assert len({x for g in grams for x in g}) < sum(map(len, grams)), "the passage is shared"
 
 
+def _random_prints(n):
+    r = random.Random(11)
+    sigs = ["".join(r.choice("ABCDab01") for _ in range(r.randrange(64))) for _ in range(n)]
+    return [(3 * 2 ** r.randrange(3), s, s[::2]) for s in sigs]
+
+
+def test_small_blocks_of_pairs_are_compared_together(monkeypatch):
+    prints, made = _random_prints(200), []
+    one = fingerprints.Comparer(prints)
+
+    class Counted(fingerprints.Comparer):
+        def __init__(self, prints):
+            made.append(len(prints))
+            super().__init__(prints)
+
+    monkeypatch.setattr(fingerprints, "Comparer", Counted)
+    r = random.Random(2)
+    pairs = sorted({(r.randrange(200), r.randrange(200)) for _ in range(400)})
+    rows = []
+    for v in range(200):
+        us = [u for u, w in pairs if w == v]
+        rows += [(x, v, *prints[v if x is None else x]) for x in [None, *us]] if us else []
+    t = pa.table({n: [x[k] for x in rows] for k, n in enumerate(("u", "v", "block", "sig1", "sig2"))}).append_column("cu", pa.array([x[0] for x in rows])).append_column("cv", pa.array([x[1] for x in rows]))
+    got = {(x["u"], x["v"]): x["score"] for b in fingerprints._compare(20)(t.to_batches(max_chunksize=50)) for x in b.to_pylist()}
+    want = {(u, v): s for u, v in pairs if (s := one.scores(v, np.array([u]))[0]) >= 20}
+    assert got == want and len(want) > 20
+    assert len(made) == 1, "no comparer for each block"
+
+
+def test_a_cell_is_compared_in_strips(monkeypatch):
+    prints, held = _random_prints(120), []
+    monkeypatch.setattr(fingerprints, "STRIP", 8, raising=False)
+    monkeypatch.setattr(fingerprints, "HELD", 500, raising=False)
+    of_pairs = fingerprints.Comparer.of_pairs
+    monkeypatch.setattr(fingerprints.Comparer, "of_pairs", lambda self, i, j: (held.append(len(i)), of_pairs(self, i, j))[1])
+    t = pa.table({"cell": [1] * 120, "id": range(120), "comp": range(120), "before": pa.array([0] * 120, pa.int8()), "part": pa.array([0] * 120, pa.int32()), "block": [p[0] for p in prints], "sig1": [p[1] for p in prints], "sig2": [p[2] for p in prints]})
+    got = {(x["u"], x["v"]): x["score"] for b in fingerprints._grid(20)(t.to_batches()) for x in b.to_pylist()}
+    c = fingerprints.Comparer(prints)
+    want = {(u, v): s for v, u in itertools.combinations(range(120), 2) if (s := of_pairs(c, np.array([u]), np.array([v]))[0]) >= 20}
+    assert got == want and len(want) > 100
+    assert max(held) < 500 + 8 * 120, "a task's pairs don't grow with its cells"
+
+
 def test_groups_are_the_components_of_the_linked_pairs(spark):
     r = random.Random(5)
     pairs = {tuple(sorted(r.sample(range(60), 2))) for _ in range(110)}
