@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from rasterloom.operators import fullref, outline, regions, whole
 from rasterloom.operators.geometry import contours
-from rasterloom.plans import assets
+from rasterloom.plans import assets, vectorize
 from rasterloom.queries import finishing
 from rasterloom.queries import whole as whole_queries
 from rasterloom.sources import codecs
@@ -39,6 +39,29 @@ def test_queries_against_sql(spark, module):
         assert rows[0] == rows[1], name
 
 
+#: Images whose interior noise is the limit of auto_options, 9.
+AT_THE_LIMIT = [
+    [114, 133, 125, 149, 94, 121, 112, 137, 131, 130, 134, 125, 122, 130, 142, 107, 120, 133, 139, 148, 141, 117, 135, 103, 104, 131, 106, 122, 124, 110, 127, 116, 161, 114, 119, 132, 131, 172, 150, 112, 140, 162, 143, 122, 129, 139, 128, 121, 104, 121, 130, 109, 123, 115, 101, 147, 120, 148, 160, 147, 126, 139, 128, 120],
+    [123, 134, 137, 145, 113, 123, 124, 113, 130, 103, 142, 146, 137, 148, 147, 106, 93, 137, 112, 151, 139, 146, 139, 138, 115, 118, 137, 118, 117, 119, 112, 117, 111, 122, 129, 121, 115, 108, 111, 123, 108, 149, 157, 127, 121, 128, 141, 107, 93, 93, 142, 157, 127, 114, 137, 134, 105, 113, 122, 108, 139, 141, 112, 124],
+]
+
+
+def _against_sql(spark, tmp_path, module, name, vectors):
+    duckdb = pytest.importorskip("duckdb")
+    at = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(i, v, i % 5) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(at)
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{at}/*.parquet'")
+    return [sorted(map(tuple, d[sorted(d.columns)].to_numpy().tolist())) for d in (module.QUERIES[name](spark, str(tmp_path)).toPandas(), c.execute(module.ORACLE[name]).df())]
+
+
+def test_noise_at_the_limit_is_not_decided_by_rounding(spark, tmp_path):
+    got, want = _against_sql(spark, tmp_path, finishing, "auto_options", [[v / 127.5 - 1 for v in image] for image in AT_THE_LIMIT])
+    assert got == want and all(r[-1] for r in got)
+    flat = spark.createDataFrame([(k, 3, False, 9 + d) for k, d in enumerate((-1e-14, 2e-15, 1e-14, 1e-5))], "img_id int, colours int, capped boolean, noise double")
+    assert [r["subpixel"] for r in vectorize.auto_options(flat, 9.0).orderBy("img_id").collect()] == [True, True, True, False]
+
+
 # -- outlines
 
 
