@@ -187,9 +187,9 @@ def responsive_matrix(images: DataFrame, widths: list[int], formats: list[str])
     return e.select("img_id", F.col("w").alias("width"), "format", F.concat_ws("", F.col("img_id").cast("string"), F.lit("-"), F.col("w").cast("string"), F.lit("."), ext).alias("name"))
 
 
-def gcode(lines: DataFrame, by: str, height: int, feed: int = 1000, power: int = 1000, travel: int = 3000) -> DataFrame:
-    """by, text: a laser program of polylines (by, line, points: array of struct<x, y>) of two points or more; y is flipped by the height."""
-    xy = lambda p: F.concat(F.lit("X"), rounded3(p["x"]), F.lit(" Y"), rounded3(F.lit(float(height)) - p["y"]))
+def gcode(lines: DataFrame, by: str, height: int, feed: int = 1000, power: int = 1000, travel: int = 3000, signed_zero: bool = False) -> DataFrame:
+    """by, text: a laser program of polylines (by, line, points: array of struct<x, y>) of two points or more; y is flipped by the height. signed_zero: what is rounded to zero from below is written -0, as printf does, not 0."""
+    xy = lambda p: F.concat(F.lit("X"), rounded3(p["x"], signed_zero), F.lit(" Y"), rounded3(F.lit(float(height)) - p["y"], signed_zero))
     pts = F.col("points")
     first = F.concat(F.lit("G0 "), xy(F.get(pts, F.lit(0))), F.lit(f"\nM3 S{power}\nG1 "), xy(F.get(pts, F.lit(1))), F.lit(f" F{feed}"))
     rest = F.transform(F.slice(pts, F.lit(3), F.greatest(F.size(pts) - 2, F.lit(0))), lambda p: F.concat(F.lit("\nG1 "), xy(p)))
@@ -197,9 +197,10 @@ def gcode(lines: DataFrame, by: str, height: int, feed: int = 1000, power: int =
     return _joined(cut, [by], ["line"], F.col("__c")).withColumn("text", F.concat(F.lit(f"G21\nG90\nG0 F{travel}\nM5\n"), "text", F.lit("G0 X0 Y0\nM5\nM2\n")))
 
 
-def rounded3(v: Column) -> Column:
+def rounded3(v: Column, signed_zero: bool = False) -> Column:
     s = F.format_string("%.3f", v.cast("double"))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", ""), "^-0$", "0")
+    s = F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")
+    return s if signed_zero else F.regexp_replace(s, "^-0$", "0")
 
 
 #: Media types of images that a document may take in, by extension.

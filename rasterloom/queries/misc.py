@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import bindings as B
@@ -99,10 +99,15 @@ def sprite_sheet(s: SparkSession, d: str) -> DataFrame:
     return M.sprite_sheet(p, ["grp"], "p_partkey", F.concat(F.lit("i<"), F.col("p_partkey").cast("string")), F.col("svg"))
 
 
+def _round2(v: Column) -> Column:
+    """v to two places with its sign, also that of a zero, which F.round loses."""
+    return F.when(v.cast("string").startswith("-"), -F.round(-v, 2)).otherwise(F.round(v, 2))
+
+
 def gcode_lines(s: SparkSession, d: str) -> DataFrame:
     e = B.table(s, d, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("line"), "embedding")
-    pts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.round(F.get("embedding", F.col("line") * 8 + i * 2).cast("double") * 100, 2).alias("x"), F.round(F.get("embedding", F.col("line") * 8 + i * 2 + 1).cast("double") * 100, 2).alias("y")))
-    return M.gcode(e.select("vec_id", "line", pts.alias("points")), "vec_id", 64)
+    pts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(_round2(F.get("embedding", F.col("line") * 8 + i * 2).cast("double") * 100).alias("x"), _round2(F.get("embedding", F.col("line") * 8 + i * 2 + 1).cast("double") * 100).alias("y")))
+    return M.gcode(e.select("vec_id", "line", pts.alias("points")), "vec_id", 64, signed_zero=True)
 
 
 def batch_summary(s: SparkSession, d: str) -> DataFrame:

@@ -10,10 +10,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from rasterloom.functions import markup
 from rasterloom.operators import fullref, outline, regions, whole
 from rasterloom.operators.geometry import contours
 from rasterloom.plans import assets, vectorize
-from rasterloom.queries import finishing
+from rasterloom.queries import finishing, misc
 from rasterloom.queries import whole as whole_queries
 from rasterloom.sources import codecs
 
@@ -62,6 +63,14 @@ def test_noise_at_the_limit_is_not_decided_by_rounding(spark, tmp_path):
     assert [r["subpixel"] for r in vectorize.auto_options(flat, 9.0).orderBy("img_id").collect()] == [True, True, True, False]
 
 
+def test_gcode_keeps_the_sign_of_zero_as_sql_does(spark, tmp_path):
+    firsts = [-0.00003, 0.00003, -0.0, 0.0, -0.00004999, -0.0000501, 0.64, 0.6400003]
+    got, want = _against_sql(spark, tmp_path, misc, "gcode_lines", [[x, y, *[0.125] * 62] for x in firsts for y in firsts])
+    assert got == want and any("X-0 " in r[0] for r in got) and any("X0 " in r[0].split("M3")[0] for r in got)
+    lines = spark.createDataFrame([(1, 0, [(-0.0001, 1.0), (2.0, 64.0)])], "id int, line int, points array<struct<x:double,y:double>>")
+    assert "G0 X0 Y63" in markup.gcode(lines, "id", 64).first()["text"], "the operator writes 0"
+
+
 # -- outlines
 
 
