@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -143,12 +141,8 @@ def page_documents(s: SparkSession, d: str) -> DataFrame:
 
 def codec_kinds(s: SparkSession, d: str) -> DataFrame:
     """Images encoded as BMP, icon, portable map and TGA, and decoded again by what their bytes say they are."""
-    packed = from_pixels(B.gray_rgba(B.gray8(s, d)))
-    one = lambda k: packed.select(F.concat_ws(":", F.lit(k), "img_id").alias("path"), rasters.encoded(F.col("data"), F.col("width"), F.col("height"), k).alias("content"))
-    files = reduce(DataFrame.union, [one(k) for k in ("bmp", "ico", "pnm", "tga")])
-    px = rasters.to_pixels(rasters.decoded(files).withColumn("path", F.concat_ws("/", "path", "format")))
-    ident = F.split(F.split("img_id", "/")[0], ":")
-    return px.select(ident[0].alias("kind"), F.split("img_id", "/")[1].alias("format"), ident[1].cast("long").alias("img_id"), "x", "y", "r", "g", "b", "a")
+    files = rasters.to_files(B.gray_rgba(B.gray8(s, d)), ["bmp", "ico", "pnm", "tga"])
+    return rasters.decoded_pixels(files, ["kind", "img_id"]).select("kind", "format", "img_id", "x", "y", "r", "g", "b", "a")
 
 
 def _animation(frames: pa.Array) -> pa.Array:

@@ -123,9 +123,8 @@ def responsive_matrix(s: SparkSession, d: str) -> DataFrame:
 
 def codec_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Images encoded as PNG and decoded again: the pixels of the binding."""
-    packed = rasters.from_pixels(B.gray_rgba(B.gray8(s, d)))
-    files = packed.select(F.col("img_id").cast("string").alias("path"), rasters.encoded(F.col("data"), F.col("width"), F.col("height"), "png").alias("content"))
-    return rasters.to_pixels(rasters.decoded(files)).select(F.col("img_id").cast("long").alias("img_id"), "x", "y", "r", "g", "b", "a")
+    files = rasters.to_files(B.gray_rgba(B.gray8(s, d)), ["png"])
+    return rasters.decoded_pixels(files, ["img_id"]).select("img_id", "x", "y", "r", "g", "b", "a")
 
 
 def _shapes(s: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Codecs and sources: round trips, sniffing, hand-made bytes, refusals."""
 
+import importlib
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,52 @@ def test_files(spark, tmp_path):
     assert (np.frombuffer(back["data"], np.uint8).reshape(6, 8, 4) == flat_artwork(8, 6)).all()
 
 
+def test_a_worker_holds_bounded_batches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rasters, "HELD", 4 * 500, raising=False)
+    monkeypatch.setattr(rasters, "STRIP", 100, raising=False)
+    shapes = [(3, 4)] * 60 + [(40, 30)] + [(1, 1)] * 5
+    images = [gray_noise(h, w, k) for k, (h, w) in enumerate(shapes)]
+    d = tmp_path / "f"
+    d.mkdir()
+    for k, o in enumerate(images):
+        (d / f"{k:03}.png").write_bytes(X.encode_png(o))
+    (d / "bad.png").write_bytes(b"none")
+    sizes = []
+    seen = spark.createDataFrame([(p.name, p.read_bytes()) for p in sorted(d.iterdir())], "path string, content binary").coalesce(1)
+    whole = pa.RecordBatch.from_pylist([{"path": r["path"], "content": bytes(r["content"])} for r in seen.collect()])
+
+    class Rows:  # in place of the table: runs what would run in a worker
+        sparkSession, schema = spark, seen.schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            out = list(run(iter([whole])))
+            sizes.append([b.num_rows for b in out])
+            return pa.Table.from_batches(out)
+
+    files = rasters.decoded(Rows())
+    assert files.num_rows == len(images) + 1 and files.column("error").null_count == len(images)
+    assert max(sizes[0]) <= 42 and len(sizes[0]) > 2, "not all images of a batch decoded at once"
+    px = rasters.decoded_pixels(Rows(), ["path"])
+    assert max(sizes[1]) < 200, "many small images together, a large one in parts"
+    back = {k: np.zeros((h, w, 4), np.uint8) for k, (h, w) in enumerate(shapes)}
+    for r in px.to_pylist():
+        back[int(r["path"][:3])][r["y"], r["x"]] = [r[c] for c in "rgba"]
+    assert px.num_rows == sum(h * w for h, w in shapes) and all((back[k] == o).all() for k, o in enumerate(images))
+
+
+@pytest.mark.parametrize("module, name", [("misc", "codec_round_trip"), ("finishing", "codec_kinds")])
+def test_round_trips_take_two_passes(spark, tmp_path, module, name):
+    at = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(7 + k, [((k + 3 * j) % 64) / 32 - 1 for j in range(64)]) for k in range(5)], "vec_id long, embedding array<float>").write.parquet(at)
+    df = importlib.import_module(f"rasterloom.queries.{module}").QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 2, "each one keeps a Python worker a task"
+    assert df.count() == 5 * 64 * (4 if name == "codec_kinds" else 1)
+
+
 def test_edit_order_and_names(spark):
     from rasterloom.operators import edit as E
 
